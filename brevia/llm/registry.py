@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from brevia.llm import oracles
 from brevia.llm.quality_rules import op3_quality_rules
+from brevia.llm.simhash_dedup import op8_simhash_dedup
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op8_simhash_dedup": op8_simhash_dedup,
 }
 
 ORACLES = {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}

@@ -66,10 +66,10 @@ def test_score_and_filter_agree(spark, sf_dir):
         have, want = scored.loc[r.doc_id], brute(r.text)
         assert all(have[c] == want[c] for c in Q.BASE)
         assert have.base_failed == (want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"])
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas().set_index("doc_id").quality
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas().set_index("doc_id").quality.rename("label")
     judged = scored.join(labels, how="inner")
     judged = judged[~judged.base_failed]
-    assert (judged.kept == (judged.quality == 1)).mean() > 0.95
+    assert (judged.kept == (judged.label == 1)).mean() > 0.95
 
 
 def test_odd_tables(spark):
