@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from brevia.llm import oracles
 from brevia.llm.fingerprints import op7_fingerprints
+from brevia.llm.quality_classifier import op6_quality_classifier
 from brevia.llm.quality_rules import op3_quality_rules
 from brevia.llm.simhash_dedup import op8_simhash_dedup
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_fingerprints": op7_fingerprints,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
