@@ -7,12 +7,14 @@ from brevia.llm.fingerprints import op7_fingerprints
 from brevia.llm.quality_classifier import op6_quality_classifier
 from brevia.llm.quality_rules import op3_quality_rules
 from brevia.llm.simhash_dedup import op8_simhash_dedup
+from brevia.llm.token_output import op9_token_output
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_fingerprints": op7_fingerprints,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_token_output": op9_token_output,
 }
 
 ORACLES = {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}
