@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from brevia.llm.pieces import KnownPieces, span_keys
 from brevia.llm.shared import cut, map_arrow, table_path, tables
-from brevia.llm.textkit import HEAD, U, chunks, mix, powers, text_bytes
+from brevia.llm.textkit import HEAD, chunks, text_bytes
 
 END = 0
 CHUNK = 1 << 21
@@ -80,13 +81,13 @@ def piece_starts(points: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> n
 
 
 class Encoder:
-    """Ids of string columns. Holds the ids of at most MOST_PIECES distinct pieces."""
+    """Ids of string columns."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
-        self.forget()
+        self.known = KnownPieces(MOST_PIECES)
 
     def kind(self, points: np.ndarray) -> np.ndarray:
         """The class of each code point; the library is asked once about each, as its Unicode version decides."""
@@ -98,10 +99,6 @@ class Encoder:
             kind = self.kinds[points]
         return kind
 
-    def forget(self) -> None:
-        self.keys, self.first, self.size = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pool, self.used = np.empty(1 << 16, np.int32), 0
-
     def learn(self, pieces: list[str], keys: np.ndarray) -> None:
         found, sizes = [], []
         for k in range(0, len(pieces), 5000):
@@ -109,46 +106,18 @@ class Encoder:
             coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             found.append(np.array(coded.ids, np.int32))
             sizes.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)))
-        ids, size = np.concatenate(found), np.concatenate(sizes)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(ids), self.used), np.int32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        first = self.used + np.cumsum(size) - size
-        self.used += len(ids)
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
+        self.known.learn(keys, np.concatenate(found), np.concatenate(sizes))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each followed by END, and n + 1 offsets."""
         text, points, at = code_points(data, offsets)
         starts = piece_starts(points, self.kind(points), at)
         ends = np.append(starts[1:], len(points))
-        up, down = powers(len(points) + 1)
-        h = np.zeros(len(points) + 1, U)
-        np.cumsum(mix(points.astype(U) + U(1)) * up[:-1], out=h[1:])
-        keys = mix((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
-        distinct, one, which = np.unique(keys, return_index=True, return_inverse=True)
-        where = np.searchsorted(self.keys, distinct)
-        known = self.keys[np.minimum(where, len(self.keys) - 1)] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-        if not known.all():
-            if len(self.keys) + (~known).sum() > MOST_PIECES and len(self.keys):
-                self.forget()
-                known = np.zeros(len(distinct), bool)
-            new = one[~known]
-            self.learn([text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], distinct[~known])
-            where = np.searchsorted(self.keys, distinct)
-        size = self.size[where][which]
-        pieces_before = np.searchsorted(starts, at)
-        n_docs = len(at) - 1
-        ids_before = np.append(0, np.cumsum(size))[pieces_before]
-        out_at = ids_before + np.arange(n_docs + 1)
-        out = np.full(out_at[-1], END, np.int32)
-        doc = np.repeat(np.arange(n_docs), np.diff(pieces_before))
-        to = np.cumsum(size) - size + doc  # where each piece's ids go: one END for each document before
-        shift = np.repeat(self.first[where][which] - (np.cumsum(size) - size), size)
-        ids = self.pool[shift + np.arange(len(shift))]
-        out[np.repeat(to - (np.cumsum(size) - size), size) + np.arange(len(ids))] = ids
-        return out, out_at
+        distinct, one, which = np.unique(span_keys(points, starts, ends), return_index=True, return_inverse=True)
+        new = self.known.missing(distinct)
+        if new.any():
+            self.learn([text[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)], distinct[new])
+        return self.known.ids(distinct, which, np.searchsorted(starts, at), END)
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
