@@ -6,10 +6,12 @@ from brevia.llm import oracles
 from brevia.llm.fingerprints import op7_fingerprints
 from brevia.llm.quality_classifier import op6_quality_classifier
 from brevia.llm.quality_rules import op3_quality_rules
+from brevia.llm.sentencepiece_codec import op2_sentencepiece
 from brevia.llm.simhash_dedup import op8_simhash_dedup
 from brevia.llm.token_output import op9_token_output
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_fingerprints": op7_fingerprints,
