@@ -1,3 +1,9 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from brevia.llm import source_mixing
+
+SQL: dict[str, str] = {
+    "op1_source_mixing": source_mixing.oracle(),
+}

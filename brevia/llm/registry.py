@@ -8,9 +8,11 @@ from brevia.llm.quality_classifier import op6_quality_classifier
 from brevia.llm.quality_rules import op3_quality_rules
 from brevia.llm.sentencepiece_codec import op2_sentencepiece
 from brevia.llm.simhash_dedup import op8_simhash_dedup
+from brevia.llm.source_mixing import op1_source_mixing
 from brevia.llm.token_output import op9_token_output
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
