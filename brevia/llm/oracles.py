@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from brevia.llm import source_mixing
+from brevia.llm import source_mixing, warc_fixity
 
 SQL: dict[str, str] = {
     "op1_source_mixing": source_mixing.oracle(),
+    "op5_warc_fixity": warc_fixity.oracle(),
 }
