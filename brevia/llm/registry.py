@@ -10,12 +10,14 @@ from brevia.llm.sentencepiece_codec import op2_sentencepiece
 from brevia.llm.simhash_dedup import op8_simhash_dedup
 from brevia.llm.source_mixing import op1_source_mixing
 from brevia.llm.token_output import op9_token_output
+from brevia.llm.url_filter import op4_url_filter
 from brevia.llm.warc_fixity import op5_warc_fixity
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
+    "op4_url_filter": op4_url_filter,
     "op5_warc_fixity": op5_warc_fixity,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_fingerprints": op7_fingerprints,
