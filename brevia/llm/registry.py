@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from brevia.llm import oracles
+from brevia.llm.chat_format import op10_chat_format
 from brevia.llm.fingerprints import op7_fingerprints
 from brevia.llm.quality_classifier import op6_quality_classifier
 from brevia.llm.quality_rules import op3_quality_rules
@@ -23,6 +24,7 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_output": op9_token_output,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLES = {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}
