@@ -1,6 +1,25 @@
-"""Queries of the engine's own operators and their oracle SQL."""
+"""Queries of the engine's own operators and their oracle SQL, filled by the modules imported below."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a function under its name, with DuckDB SQL for the same rows if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+from brevia.plans import conversations, documents, sessions  # noqa: E402, F401
