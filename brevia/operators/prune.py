@@ -216,10 +216,13 @@ def prune_history(messages: DataFrame, backend: Backend, config: EngineConfig, c
     (conv_id, overhead) tokens of system text and tools.
     """
     names = RESULT.replace("array<string>", "a").replace(",", "").split()[::2]
-    extra = messages.select("conv_id").distinct()
-    extra = extra.join(overheads, "conv_id", "left") if overheads is not None else extra.withColumn("overhead", F.lit(0))
+    extra = messages.select(F.col("conv_id").alias("about_id")).distinct()
+    if overheads is None:
+        extra = extra.withColumn("overhead", F.lit(0))
+    else:
+        extra = extra.join(overheads.select(F.col("conv_id").alias("about_id"), "overhead"), "about_id", "left")
     if chains is not None:
-        extra = extra.join(chains.select("conv_id", *(x.split()[0] for x in CHAIN.split(", "))), "conv_id", "left")
+        extra = extra.join(chains.select(F.col("conv_id").alias("about_id"), *(F.col(x.split()[0]).alias(x.split()[0]) for x in CHAIN.split(", "))), "about_id", "left")
     has_chain = chains is not None
 
     def run(key, rows: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
@@ -233,7 +236,7 @@ def prune_history(messages: DataFrame, backend: Backend, config: EngineConfig, c
         done = roll(turns, chain, overhead, backend, config)
         return pd.DataFrame([result_row(key[0], len(turns), done)] if done else [], columns=names)
 
-    return turns_of(messages, config).groupBy("conv_id").cogroup(extra.groupBy("conv_id")).applyInPandas(run, RESULT)
+    return turns_of(messages, config).groupBy("conv_id").cogroup(extra.groupBy("about_id")).applyInPandas(run, RESULT)
 
 
 def assemble(messages: DataFrame, pruned: DataFrame) -> DataFrame:

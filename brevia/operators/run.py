@@ -62,7 +62,7 @@ def _answers(rows: DataFrame, backend: Backend, config: EngineConfig, keys: list
             kept = [batch.column(batch.schema.get_field_index(k)) for k in keys]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(answers, pa.string()), pa.array(errors, pa.string())], [*keys, "answer", "error"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     return rows.select(*dict.fromkeys([*keys, "instruction", "content", "strategy", "room"])).mapInArrow(run, f"{fields}, answer string, error string")
 
 

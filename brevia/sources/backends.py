@@ -98,6 +98,7 @@ def chat(base_url: str, model: str, messages: list[dict], options: dict | None =
 PROMPTS = {
     "chunk": "Shorten the text to at most {percent} % of its length. Keep facts, numbers, names, paths, commands and error messages as they are, in the text's own language. Answer with the shortened text only.",
     "history": "Summarise this part of a conversation as a list. Keep goals, decisions, file paths, commands, errors with their remedies, open tasks, explicit wishes and figures, in the conversation's own language. Stay under a third of its length. Answer with the summary only.",
+    "merge": "The text holds the answers to one instruction for the parts of a file. Join them into one answer without losing anything.",
 }
 
 

@@ -14,7 +14,7 @@ PREAMBLE = "These are the contents of the files to work on:\n\n"
 
 def normalise_paths(paths: Column) -> Column:
     """Trimmed paths of an array, blank and null ones left out; null gives none."""
-    trimmed = F.transform(F.coalesce(paths, F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"^[\s﻿]+|[\s﻿]+$", ""))
+    trimmed = F.transform(F.coalesce(paths, F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"(?U)^[\s﻿]+|[\s﻿]+$", ""))
     return F.filter(trimmed, lambda x: x.isNotNull() & (x != ""))
 
 
