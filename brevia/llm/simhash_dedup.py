@@ -11,11 +11,18 @@ keyed by their bits, loses no link. m grows and keys widen with the number of fi
 keeps buckets near BUCKET rows. A bucket over TILE rows is cut into tiles by hash and every pair of
 tiles is a unit of work of its own, so no task holds a large bucket.
 
-In a unit the candidates' bits are stored as 64 vertical planes, 64 candidates to a machine word. A
-block of queries runs down the planes; full adders feed bit-sliced counters of all distances at
-once, and cells (a query and a word of 64 candidates) are abandoned once all their distances exceed
-the radius. A unit returns a spanning forest of the links that it finds, at most one link for each
-of its rows, never all pairs of a tight group.
+In a unit the candidates' bits are stored as vertical planes, 64 candidates to a machine word. A block
+of queries runs down the planes; full adders feed bit-sliced counters of all distances at once, and
+cells (a query and a word of 64 candidates) are abandoned once all their distances exceed the radius.
+A unit returns a spanning forest of the links that it finds, at most one link for each of its rows,
+never all pairs of a tight group.
+
+Near copies: texts that share four fifths of their five-word shingles are some ten bits of 64 apart,
+beyond any radius whose blocks select well. near_links() finds them by fingerprints of 256 bits over
+distinct five-word shingles, at WIDE_RADIUS or less, with the same comparison. Its tables are keyed by
+random bits, as many tables as find a pair of similarity 0.8 with probability WIDE_RECALL; the distance
+estimates the similarity, so pairs near 0.8 may fall on either side. filter_documents() takes both
+kinds of links together, label() only those of the 64-bit fingerprints.
 
 Repeated rows share a fingerprint and so a component; rows with one doc_id and different texts are
 separate rows. A component's id is its smallest doc_id (null if none has one). Extra columns are
@@ -35,10 +42,20 @@ from pyspark.sql import functions as F
 
 from brevia.llm.components import components
 from brevia.llm.shared import cut, map_arrow, tables
+from brevia.llm.textkit import mix
 
 RADIUS = 4
 SHINGLE = 4
 BUCKET = 1024
+#: Of the fingerprints for near copies: words, shingle length, radius, similarity and share of bits in which
+#: such texts differ (the angle of sets with Jaccard similarity s has cosine 2s / (1 + s)), recall, bucket.
+WORDS = 4
+WIDE_SHINGLE = 5
+WIDE_RADIUS = 44
+WIDE_SIMILARITY = 0.8
+WIDE_DIFFERENCE = math.acos(2 * WIDE_SIMILARITY / (1 + WIDE_SIMILARITY)) / math.pi
+WIDE_RECALL = 0.99
+WIDE_BUCKET = 2048
 TILE = 4096
 ROWS = 256
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -46,24 +63,23 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def fingerprint(raw: bytes) -> int:
     """The fingerprint of one UTF-8 text."""
-    hashes = shingle_hashes(raw)
+    hashes = shingle_hashes(raw, SHINGLE)[0]
     if not len(hashes):
         return 0
     return int(_majority(hashes, np.array([0]), np.array([len(hashes)]))[0])
 
 
-def shingle_hashes(raw: bytes) -> np.ndarray:
-    """XXH64 of all shingles, in order. bytes.lower and bytes.split know ASCII only, as is wanted."""
+def shingle_hashes(raw: bytes, *sizes: int) -> list[np.ndarray]:
+    """XXH64 of all shingles of each size, in order. bytes.lower and bytes.split know ASCII only, as is wanted."""
     words = raw.lower().split()
     if not words:
-        return np.empty(0, np.uint64)
+        return [np.empty(0, np.uint64) for _ in sizes]
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        return np.array([digest(line, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)[: 1 - SHINGLE]
-    return np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64)
+    starts, ends = np.append(0, ends[:-1] + 1).tolist(), ends.tolist()
+    spans = ([(0, len(line))] if len(words) < n else zip(starts, ends[n - 1 :], strict=False) for n in sizes)
+    return [np.array([digest(line[a:b], 42) for a, b in some], np.uint64) for some in spans]
 
 
 def _majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -73,127 +89,154 @@ def _majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     return np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def column_fingerprints(column: pa.Array, most: int = 1 << 16) -> np.ndarray:
-    """Fingerprints of a string column, whole texts; most bounds the hashes whose bits are held at once."""
-    out = np.zeros(len(column), np.uint64)
-    held: list[np.ndarray] = []
-    at: list[int] = []
-    n = 0
-
-    def flush() -> None:
-        if at:
-            sizes = np.array([len(x) for x in held])
-            out[at] = _majority(np.concatenate(held), np.cumsum(sizes) - sizes, sizes)
-            held.clear()
-            at.clear()
-
-    for k, raw in enumerate(column.cast(pa.large_binary())):
-        found = shingle_hashes(raw.as_py() or b"")
-        if len(found) > most:  # a very long text: counted in pieces
-            ones = sum(np.unpackbits(found[i : i + most].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64) for i in range(0, len(found), most))
-            out[k] = np.packbits(2 * ones > len(found)).view(">u8")[0]
-        elif len(found):
-            if n + len(found) > most:
-                flush()
-                n = 0
-            held.append(found)
-            at.append(k)
-            n += len(found)
-    flush()
-    return out
-
-
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp long: the fingerprint's 64 bits) of every row."""
+class _Prints:
+    """Fingerprints of many documents: their hashes are held up to a bound and counted together."""
+
+    def __init__(self, n: int, most: int):
+        self.out, self.most = np.zeros(n, np.uint64), most
+        self.held: list[np.ndarray] = []
+        self.at: list[int] = []
+        self.n = 0
+
+    def add(self, k: int, hashes: np.ndarray) -> None:
+        if len(hashes) > self.most:  # a very long text: counted in pieces
+            pieces = (hashes[i : i + self.most].astype(">u8").view(np.uint8) for i in range(0, len(hashes), self.most))
+            ones = sum(np.unpackbits(x).reshape(-1, 64).sum(0, dtype=np.int64) for x in pieces)
+            self.out[k] = np.packbits(2 * ones > len(hashes)).view(">u8")[0]
+        elif len(hashes):
+            if self.n + len(hashes) > self.most:
+                self.flush()
+            self.held.append(hashes)
+            self.at.append(k)
+            self.n += len(hashes)
+
+    def flush(self) -> np.ndarray:
+        if self.at:
+            sizes = np.array([len(x) for x in self.held])
+            self.out[self.at] = _majority(np.concatenate(self.held), np.cumsum(sizes) - sizes, sizes)
+            self.held, self.at, self.n = [], [], 0
+        return self.out
+
+
+_SALTS = mix(np.arange(1, WORDS, dtype=np.uint64))
+
+
+def column_fingerprints(column: pa.Array, most: int = 1 << 16, wide: bool = False) -> list[np.ndarray]:
+    """Fingerprints of a binary column, whole texts, and if wide the WORDS words of the wide ones.
+    most bounds the hashes whose bits are held at once."""
+    prints = [_Prints(len(column), most) for _ in range(1 + WORDS * wide)]
+    for k, raw in enumerate(column):
+        found = shingle_hashes(raw.as_py() or b"", SHINGLE, *[WIDE_SHINGLE] * wide)
+        prints[0].add(k, found[0])
+        if wide:
+            distinct = np.unique(found[1])
+            prints[1].add(k, distinct)
+            for words, salt in zip(prints[2:], _SALTS, strict=True):
+                words.add(k, mix(distinct ^ salt))
+    return [x.flush() for x in prints]
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
+    """(key, fp long: the fingerprint's 64 bits) of every row, and if wide (w0, w1, ...)."""
+    names = ["fp", *(f"w{k}" for k in range(WORDS * wide))]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(column_fingerprints(batch.column(1)).view(np.int64))], [key, "fp"])
+            found = column_fingerprints(batch.column(1), wide=wide)
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in found)], [key, *names])
 
         return step
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(docs.select(F.col(key), F.col(text).cast("string").cast("binary").alias("text")), f"`{key}` {kind}, fp long", make)
+    schema = f"`{key}` {kind}, {', '.join(f'{x} long' for x in names)}"
+    return map_arrow(docs.select(F.col(key), F.col(text).cast("string").cast("binary").alias("text")), schema, make)
 
 
 # --- bit-sliced comparison ------------------------------------------------------------------------
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
-    """64 x words: bit p of candidate 64 * w + i is bit i of planes[p, w]. Lanes beyond the last are zero."""
+    """bits x words of n x k fingerprints: bit p of candidate 64 * w + i is bit i of planes[p, w]. Lanes beyond
+    the last are zero."""
     n = -(-len(values) // 64) * 64
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-    padded = np.zeros((64, n), np.uint8)
+    bits = np.unpackbits(np.ascontiguousarray(values.astype("<u8")).view(np.uint8), bitorder="little").reshape(len(values), -1)
+    padded = np.zeros((bits.shape[1], n), np.uint8)
     padded[:, : len(values)] = bits.T
     return np.packbits(padded, axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
 class _Counters:
-    """Distances of all lanes: ones, twos and fours, and over: lanes whose count has passed 7."""
+    """Distances of all lanes as bit planes, lowest first, and over: lanes whose count passed what those hold."""
 
-    def __init__(self, shape):
-        self.ones, self.twos, self.fours, self.over = (np.zeros(shape, np.uint64) for _ in range(4))
+    def __init__(self, shape, radius: int):
+        self.radius = radius
+        self.planes = [np.zeros(shape, np.uint64) for _ in range(max(2, radius.bit_length()))]
+        self.over = np.zeros(shape, np.uint64)
+
+    def _ripple(self, carry: np.ndarray, level: int) -> None:
+        for k in range(level, len(self.planes)):
+            plane = self.planes[k]
+            self.planes[k], carry = plane ^ carry, plane & carry
+        self.over |= carry
 
     def add(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
         """Three planes of differences: a full adder first, then one ripple for its sum and one for its carry."""
         ab = a ^ b
-        total, carry = ab ^ c, (a & b) | (ab & c)
-        low = self.ones & total
-        self.ones ^= total
-        two = self.twos ^ low
-        high = (self.twos & low) | (two & carry)
-        self.twos = two ^ carry
-        self.over |= self.fours & high
-        self.fours ^= high
-
-    def dead(self, radius: int) -> np.ndarray:
-        """Lanes over the radius, which is under 8."""
-        out = self.over.copy()
-        for value in range(radius + 1, 8):
-            lane = self.fours if value & 4 else ~self.fours
-            lane = lane & (self.twos if value & 2 else ~self.twos)
-            out |= lane & (self.ones if value & 1 else ~self.ones)
-        return out
+        self._ripple(ab ^ c, 0)
+        self._ripple((a & b) | (ab & c), 1)
+
+    def dead(self) -> np.ndarray:
+        """Lanes over the radius: a comparison from the highest plane down."""
+        more, equal = self.over.copy(), ~self.over
+        for k in range(len(self.planes) - 1, -1, -1):
+            if self.radius >> k & 1:
+                equal = equal & self.planes[k]
+            else:
+                more |= equal & self.planes[k]
+                equal = equal & ~self.planes[k]
+        return more
 
     def keep(self, at) -> None:
-        self.ones, self.twos, self.fours, self.over = self.ones[at], self.twos[at], self.fours[at], self.over[at]
+        self.planes, self.over = [x[at] for x in self.planes], self.over[at]
 
 
 def close_pairs(queries: np.ndarray, candidates: np.ndarray, radius: int = RADIUS, same: bool = False):
     """Yields (query, candidate) positions at radius or fewer differing bits, a block of queries at a time.
 
-    same: both are one list; only pairs with query < candidate are given.
+    queries, candidates: n x k words. same: both are one list; only pairs with query < candidate are given.
     """
     if not len(queries) or not len(candidates):
         return
     planes = _planes(candidates)
-    words = planes.shape[1]
+    bits, words = planes.shape
     lanes = np.full(words, ALL)
     if len(candidates) % 64:
         lanes[-1] = np.uint64((1 << len(candidates) % 64) - 1)
     none = np.zeros(1, np.uint64)
+    # by then unrelated fingerprints, which differ in every other bit, are over the radius
+    dense = next((p for p in range(3, bits, 3) if p / 2 - 1.6 * p**0.5 > radius), bits // 3 * 3)
     for begin in range(0, len(queries), ROWS):
         block = queries[begin : begin + ROWS]
         skip = begin // 64 if same else 0  # words whose candidates all come before these queries
-        masks = np.where((block[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), ALL, np.uint64(0))
-        count = _Counters((len(block), words - skip))
-        for p in range(0, 24, 3):
+        rows = (block[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        masks = np.where(rows.reshape(len(block), -1).T, ALL, np.uint64(0))
+        count = _Counters((len(block), words - skip), radius)
+        for p in range(0, dense, 3):
             count.add(*(planes[k, skip:][None, :] ^ masks[k][:, None] for k in range(p, p + 3)))
-        alive = ~count.dead(radius) & lanes[skip:]
-        row, word = np.nonzero(alive)
+        row, word = np.nonzero(~count.dead() & lanes[skip:])
         count.keep((row, word))
         word = word + skip
-        for p in range(24, 64, 3):
+        for p in range(dense, bits, 3):
             if not len(row):
                 break
-            count.add(*(planes[k, word] ^ masks[k, row] if k < 64 else none for k in range(p, p + 3)))
-            if p % 9 == 6 or p >= 63:
-                left = np.flatnonzero(~count.dead(radius) & lanes[word])
+            count.add(*(planes[k, word] ^ masks[k, row] if k < bits else none for k in range(p, p + 3)))
+            if (p - dense) % 12 == 9 or p + 3 >= bits:
+                left = np.flatnonzero(~count.dead() & lanes[word])
                 count.keep(left)
                 row, word = row[left], word[left]
         if not len(row):
             continue
-        alive = ~count.dead(radius) & lanes[word]
+        alive = ~count.dead() & lanes[word]
         cell, lane = np.nonzero(np.unpackbits(alive.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64))
         q, c = row[cell] + begin, word[cell] * 64 + lane
         if same:
@@ -216,18 +259,19 @@ def join_up(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             label[:] = step
 
 
-def forest(values: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one unit: side 0 and 1 are two tiles; where only one is present, the tile with itself."""
+def forest(values: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one unit, as positions in values: side 0 and 1 are two tiles; where only one is present, the
+    tile with itself."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     label = np.arange(len(values))
     if len(right):
-        for q, c in close_pairs(values[left], values[right]):
+        for q, c in close_pairs(values[left], values[right], radius):
             join_up(label, left[q], right[c])
     else:
-        for q, c in close_pairs(values[left], values[left], same=True):
+        for q, c in close_pairs(values[left], values[left], radius, same=True):
             join_up(label, left[q], left[c])
     at = np.flatnonzero(label != np.arange(len(label)))
-    return values[at], values[label[at]]
+    return at, label[at]
 
 
 # --- tables and units -----------------------------------------------------------------------------
@@ -253,15 +297,40 @@ def _signed(x: int) -> int:
 
 def links(distinct: DataFrame, n: int) -> DataFrame:
     """(u, v): a spanning set of the links between n distinct fingerprints fp."""
-    masks = _masks(n)
-    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(_signed(x)) for x in masks))).alias("tab", "key"))
+    return _compared(distinct.select("fp"), [F.col("fp").bitwiseAND(_signed(x)) for x in _masks(n)], ["fp"], RADIUS)
+
+
+def _wide_keys(n: int) -> list[list[int]]:
+    """For n fingerprints, the masks of each table: one for each word. Tables are keyed by so many random bits
+    that unrelated fingerprints fill buckets of about WIDE_BUCKET, and are so many that a pair with
+    WIDE_DIFFERENCE meets in one with probability WIDE_RECALL."""
+    width = max(0, math.ceil(math.log2(max(n, 1) / WIDE_BUCKET)))
+    meet = (1 - WIDE_DIFFERENCE) ** width
+    tables = 1 if not width else math.ceil(math.log(1 - WIDE_RECALL) / math.log(1 - meet))
+    draw = np.random.default_rng(42)
+    chosen = (draw.choice(64 * WORDS, width, replace=False).tolist() for _ in range(tables))
+    return [[sum(1 << b % 64 for b in bits if b // 64 == w) for w in range(WORDS)] for bits in chosen]
+
+
+def near_links(distinct: DataFrame, n: int) -> DataFrame:
+    """(u, v): fp of near copies among n distinct rows (fp, w0, w1, ...)."""
+    names = [f"w{k}" for k in range(WORDS)]
+    keys = [F.xxhash64(*(F.col(c).bitwiseAND(_signed(x)) for c, x in zip(names, masks, strict=True))) for masks in _wide_keys(n)]
+    return _compared(distinct.select("fp", *names), keys, names, WIDE_RADIUS)
+
+
+def _compared(distinct: DataFrame, keys: list[Column], words: list[str], radius: int) -> DataFrame:
+    """(u, v): fp of linked rows of distinct (fp, words...), where rows that share one of keys are compared."""
+    own = list(dict.fromkeys(["fp", *words]))
+    keyed = distinct.select(*own, F.posexplode(F.array(*keys)).alias("tab", "key"))
     sizes = keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
     tiles = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int")
-    tiled = keyed.join(sizes, ["tab", "key"], "left").withColumn("t", tiles).withColumn("tile", F.pmod(F.xxhash64("fp", "tab"), F.col("t")).cast("int"))
+    tiled = keyed.join(sizes, ["tab", "key"], "left").withColumn("t", tiles).withColumn("tile", F.pmod(F.xxhash64(*own, "tab"), F.col("t")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("t") - 1))
-    units = tiled.select("fp", "tab", "key", "tile", other.alias("other")).select(
-        "tab", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "fp"
+    units = tiled.select(*own, "tab", "key", "tile", other.alias("other")).select(
+        "tab", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), *own
     )
+    first = 5 + own.index(words[0])  # where the words begin
     dealt = units.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j")
 
     def make_runs(batches):
@@ -275,15 +344,15 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
             us, vs = [], []
             for a, b in itertools.pairwise([0, *cuts.tolist(), len(ids)]):
                 if b - a > 1:
-                    u, v = forest(cols[5][a:b].view(np.uint64), cols[4][a:b])
-                    us.append(u)
-                    vs.append(v)
-            if not us or not (n := sum(map(len, us))):
+                    u, v = forest(np.stack([c[a:b] for c in cols[first:]], 1).view(np.uint64), cols[4][a:b], radius)
+                    us.append(cols[5][a + u])
+                    vs.append(cols[5][a + v])
+            if not sum(map(len, us)):
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], ["u", "v"]) if n else None
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5 + len(own))]
             if not len(cols[0]):
                 continue
             last = np.ones(len(cols[0]), bool)
@@ -306,11 +375,16 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(make_runs, "u long, v long")
 
 
-def label(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, component_id) of every row: component_id is the smallest key reachable over links."""
-    prints = cut(fingerprints(docs, key, text))
+def label(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = False) -> DataFrame:
+    """(key, fp, component_id) of every row: component_id is the smallest key reachable over links, and with
+    near over those of near copies too."""
+    prints = cut(fingerprints(docs, key, text, near))
     distinct = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = components(links(distinct.select("fp"), distinct.count()))
+    found = links(distinct.select("fp"), distinct.count())
+    if near:
+        wide = cut(prints.drop(key).distinct())
+        found = found.union(near_links(wide, wide.count()))
+    roots = components(found)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(smallest, "root").select("fp", "component_id")
@@ -321,10 +395,10 @@ def hex_column(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def filter_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def filter_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = True) -> DataFrame:
     """One row of each component, all columns: the one with the component's smallest key (of rows with
     that key, the first by text). As in GROUP BY, null is one key."""
-    marked = label(docs, key, text)
+    marked = label(docs, key, text, near)
     stays = marked.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__brevia_key")).distinct()
     kept = docs.join(stays, F.col(key).eqNullSafe(F.col("__brevia_key")), "left_semi")
     order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first())

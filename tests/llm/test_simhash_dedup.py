@@ -23,13 +23,14 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(prints):
-    """By row: the smallest row reachable over fingerprints at 4 or fewer differing bits."""
-    p = np.array(prints, np.uint64)
-    near = np.bitwise_count(p[:, None] ^ p[None, :]) <= 4
-    label = np.arange(len(p))
+def brute_components(near):
+    """By row: the smallest row reachable over a matrix of links, or over fingerprints at 4 or fewer differing bits."""
+    if np.ndim(near) == 1:
+        p = np.array(near, np.uint64)
+        near = np.bitwise_count(p[:, None] ^ p[None, :]) <= 4
+    label = np.arange(len(near))
     while True:
-        new = np.where(near, label[None, :], len(p)).min(1)
+        new = np.where(near, label[None, :], len(near)).min(1)
         if (new == label).all():
             return label
         label = new
@@ -54,12 +55,12 @@ def test_fingerprints_equal_brute_force(spark, sf_dir):
     for r in S.op8_simhash_dedup(spark, sf_dir).collect():
         assert r.fingerprint == f"{brute_print(texts[r.doc_id]):016x}"
     edges = [None, "", " \n", "a", "A b", "a b c d", "É \x1c b c d e", "x " * 30_000]
-    assert S.column_fingerprints(pa.array(edges).cast(pa.binary()), most=1000).tolist() == [brute_print(x) for x in edges]
+    assert S.column_fingerprints(pa.array(edges).cast(pa.binary()), most=1000)[0].tolist() == [brute_print(x) for x in edges]
 
 
 def test_jvm_hash_agrees(spark):
     row = spark.sql("select xxhash64('the end of it') h").first()
-    assert np.uint64(row.h & (1 << 64) - 1) == S.shingle_hashes(b"The end of it")[0]
+    assert np.uint64(row.h & (1 << 64) - 1) == S.shingle_hashes(b"The end of it", 4)[0][0]
 
 
 @pytest.mark.parametrize("sizes", [(1, 1), (63, 130), (300, 700)])
@@ -67,7 +68,7 @@ def test_close_pairs_equal_brute_force(sizes):
     values = planted(2000, 5)
     left, right = values[: sizes[0]], np.concatenate([values[: sizes[1]], values[-50:]])
     for a, b, same in ((left, right, False), (right, right, True)):
-        found = {(int(q), int(c)) for x in S.close_pairs(a, b, same=same) for q, c in zip(*x, strict=True)}
+        found = {(int(q), int(c)) for x in S.close_pairs(a[:, None], b[:, None], same=same) for q, c in zip(*x, strict=True)}
         distance = np.bitwise_count(a[:, None] ^ b[None, :])
         want = {(int(q), int(c)) for q, c in zip(*np.nonzero(distance <= 4), strict=True) if not same or q < c}
         assert found == want
@@ -88,6 +89,46 @@ def test_components_of_planted_links(spark, monkeypatch, bucket, tile):
     assert len(set(have)) == len(set(want.tolist()))
 
 
+@pytest.mark.parametrize(("k", "radius"), [(1, 0), (1, 7), (2, 9), (4, 44), (4, 100)])
+def test_wide_pairs_equal_brute_force(k, radius):
+    draw = np.random.default_rng(radius)
+    a = draw.integers(0, 1 << 63, (150, k), dtype=np.uint64)
+    b = np.concatenate([a[:60].copy(), draw.integers(0, 1 << 63, (90, k), dtype=np.uint64)])
+    for row in b[:60]:
+        for bit in draw.choice(64 * k, draw.integers(0, 2 * radius + 2) % (64 * k), replace=False):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    found = {(int(q), int(c)) for x in S.close_pairs(a, b, radius) for q, c in zip(*x, strict=True)}
+    distance = np.bitwise_count(a[:, None] ^ b[None, :]).sum(2)
+    assert found == {(int(q), int(c)) for q, c in zip(*np.nonzero(distance <= radius), strict=True)}
+
+
+def similarity(a, b):
+    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("bucket", [2048, 30])
+def test_near_copies_are_found(spark, monkeypatch, bucket):
+    monkeypatch.setattr(S, "WIDE_BUCKET", bucket)
+    draw = np.random.default_rng(bucket)
+    vocabulary = np.array([f"w{k}" for k in range(3000)])
+    texts, pairs = [], []
+    for _ in range(250):
+        words = draw.choice(vocabulary, draw.integers(60, 400))
+        copy = words.copy()
+        copy[draw.choice(len(words), draw.integers(0, max(1, len(words) // 50) + 1), replace=False)] = "changed"
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words), " ".join(copy)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in S.label(docs, near=True).collect()}
+    alike = [similarity(texts[a], texts[b]) for a, b in pairs]
+    caught = [found[a] == found[b] for a, b in pairs]
+    assert len(set(found.values())) >= 250 and np.mean([c for c, s in zip(caught, alike, strict=True) if s >= 0.8]) > 0.9
+    assert np.mean([c for c, s in zip(caught, alike, strict=True) if s >= 0.87]) > 0.98
+    kept = {r.doc_id for r in S.filter_documents(docs).collect()}
+    assert kept == set(found.values())
+
+
 def test_masks_lose_no_link():
     for n in (10, 10**6, 10**9, 10**12):
         masks = S._masks(n)
@@ -108,7 +149,7 @@ def test_label_equals_brute_force(spark, sf_dir):
     want = brute_components([int(r.fingerprint, 16) for r in rows])
     assert [r.component_id for r in rows] == [rows[k].doc_id for k in want]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert sorted(r.doc_id for r in S.filter_documents(docs).collect()) == sorted({r.component_id for r in rows})
+    assert sorted(r.doc_id for r in S.filter_documents(docs, near=False).collect()) == sorted({r.component_id for r in rows})
 
 
 def test_odd_tables(spark):
