@@ -51,7 +51,7 @@ BUCKET = 1024
 #: such texts differ (the angle of sets with Jaccard similarity s has cosine 2s / (1 + s)), recall, bucket.
 WORDS = 4
 WIDE_SHINGLE = 5
-WIDE_RADIUS = 44
+WIDE_RADIUS = 46
 WIDE_SIMILARITY = 0.8
 WIDE_DIFFERENCE = math.acos(2 * WIDE_SIMILARITY / (1 + WIDE_SIMILARITY)) / math.pi
 WIDE_RECALL = 0.99
