@@ -108,8 +108,8 @@ def budgets(supply: DataFrame, mix: Mix) -> DataFrame:
     leaves = leaves.withColumn("capacity", F.when(usable, F.col("tokens") * mix.max_epochs).otherwise(0))
     langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).withColumn("weight", F.expr(mix.weight_sql("lang")).cast("long"))
     domains = langs.groupBy("domain").agg(F.sum("capacity").alias("capacity")).withColumn("weight", F.expr(mix.weight_sql("domain")).cast("long"))
-    everything = leaves.agg(F.least(F.floor(F.sum("tokens") * F.lit(mix.share)), F.sum("capacity")).cast("long").alias("budget"))
-    domains = _hand_down(domains.crossJoin(F.broadcast(everything)), [], "domain")  # one row with the total
+    total = leaves.agg(F.least(F.floor(F.sum("tokens") * F.lit(mix.share)), F.sum("capacity")).cast("long")).first()[0]
+    domains = _hand_down(domains.withColumn("budget", F.lit(total).cast("long")), [], "domain")
     langs = _hand_down(langs.join(domains.select("domain", F.col("share").alias("budget")), "domain"), ["domain"], "lang")
     leaves = leaves.join(langs.select("domain", "lang", F.col("share").alias("budget")), ["domain", "lang"])
     return _hand_down(leaves, ["domain", "lang"], "source").join(supply, list(LEAF)).select(*LEAF, "tokens", F.col("share").alias("budget"))
@@ -126,7 +126,7 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 def plan(measured: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
     """For each leaf with a budget its whole epochs and where the prefix of the next one ends:
     (leaf, epochs, cut_key, cut_tokens, cut_rows), and the number of leaves."""
-    supply = measured.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
+    supply = cut(measured.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")))
     leaves = cut(budgets(supply, mix).filter("budget > 0").select(*LEAF, F.expr("budget div tokens").alias("epochs"), F.expr("budget % tokens").alias("rest")))
     n = leaves.count()
     keyed = measured.join(_small(leaves.filter("rest > 0"), n), list(LEAF)).withColumn("at", _order(mix, F.col("epochs"))).withColumn("range", F.substring("at", 1, 3))
