@@ -121,13 +121,14 @@ def owner(requests: DataFrame, events: DataFrame, recent: int = 8, window: int =
     messages; a sole agent owns all requests. requests: (request_id, seq, message_id); events: (agent, seq, message_id)."""
     from brevia.sources.cache import latest
 
-    agents = events.select("agent").distinct()
-    sole = agents.agg(F.count(F.lit(1)).alias("n"), F.min("agent").alias("sole"))
+    agents = events.select("agent").distinct().limit(2).collect()
     tail = latest(requests, "request_id", "seq", recent).select("request_id", "message_id")
     seen = latest(events, "agent", "seq", window).select("agent", "message_id")
     found = tail.join(seen, "message_id").groupBy("request_id").agg(F.min("agent").alias("agent"))
-    rows = requests.select("request_id").distinct().join(found, "request_id", "left").crossJoin(F.broadcast(sole))  # one row
-    return rows.select("request_id", F.when(F.col("n") == 1, F.col("sole")).otherwise(F.col("agent")).alias("agent"))
+    rows = requests.select("request_id").distinct()
+    if len(agents) == 1:
+        return rows.withColumn("agent", F.lit(agents[0].agent))
+    return rows.join(found, "request_id", "left")
 
 
 # --- stability of what is sent -----------------------------------------------------------------------------
