@@ -132,9 +132,8 @@ def first_line(c: Column) -> Column:
 
 def trigram_set(c: Column, units: int = SIMILARITY_UNITS) -> Column:
     """Distinct trigrams at a text's beginning, for texts without astral characters."""
-    head = F.substring(c, 1, units)
-    n = F.length(head)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda k: F.substring(head, k, 3)))).otherwise(F.array().cast("array<string>"))
+    # a look-ahead finds overlapping matches in one pass; a lambda would cut the text anew for each
+    return F.array_distinct(F.regexp_extract_all(F.substring(c, 1, units), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
 def set_similarity(a: Column, b: Column) -> Column:
