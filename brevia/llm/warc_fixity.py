@@ -3,13 +3,15 @@
 A replica is a table of records (file, record_id, offset, length, sha256): what read_warc() finds in
 stored files, or what warc_records() would write for a table of pages. Inside a file, records are
 ordered by offset; each is a leaf that hashes its offset, length and content hash, and every FANOUT
-neighbours make a node that hashes their offset range and their hashes. File roots hang in a 16-ary
-trie over the md5 of the file's name, so the tree above them has a fixed height and no group holds
-many files. A tree is a table of (level, node, parent, hash), a fifteenth of the size of its records.
+neighbours make a node that hashes their offset range and their hashes. File roots hang in a trie over
+the md5 of the file's name, two hex digits a level, so the tree above them has a fixed height and no
+group holds many files. A tree is a table of (level, node, parent, hash), a fifteenth of the size of
+its records; the trees of two replicas are built side by side in one table.
 
 Two replicas are compared level by level: nodes whose hashes differ, or that one side lacks, are the
-next level's parents, and only their children are joined. Equal roots end the audit at once. The
-records below mismatching leaves are matched by file and record id and called
+next level's parents, and only their children are compared; the parents are broadcast up to
+MAX_BROADCAST and joined beyond. Equal roots end the audit at once. The records below mismatching
+leaves are matched by file and record id and called
 
   corrupt  the contents differ        moved  equal contents at another offset
   missing  only in the first replica  extra  only in the second
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from brevia.llm.shared import cut, tables
 
 FANOUT = 16
-TRIE = 4
+#: Lengths of the md5 prefixes of the trie's levels, from the root.
+TRIE = (0, 2, 4)
+MAX_BROADCAST = 100_000
 FILE_RECORDS = 1000
 DATE = "1970-01-01T00:00:00Z"
 
@@ -93,13 +97,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 # --- trees ----------------------------------------------------------------------------------------
 
 
-def _leaves(records: DataFrame) -> DataFrame:
-    """Records with seq, their place in the file, and copy, their place among those of the same id."""
-    in_file = Window.partitionBy("file").orderBy("offset", "record_id", "sha256")
-    same = Window.partitionBy("file", "record_id").orderBy("offset", "sha256")
+def _leaves(*replicas: DataFrame) -> DataFrame:
+    """Records with side (0 or 1), seq: their place in the file, and copy: their place among those of their id.
+    One exchange by file serves both windows."""
+    records = None
+    for side, replica in enumerate(replicas):
+        placed = replica.select(F.lit(side).alias("side"), "file", "record_id", "offset", "length", "sha256")
+        records = placed if records is None else records.union(placed)
+    in_file = Window.partitionBy("side", "file").orderBy("offset", "record_id", "sha256")
+    same = Window.partitionBy("side", "file", "record_id").orderBy("offset", "sha256")
     hashed = F.sha2(F.concat_ws(":", F.lit("record"), "offset", "length", "sha256"), 256)
-    placed = records.select("file", "record_id", "offset", "length", "sha256")
-    return placed.withColumn("seq", F.row_number().over(in_file) - 1).withColumn("copy", F.row_number().over(same)).withColumn("hash", hashed)
+    return records.repartition("side", "file").withColumn("seq", F.row_number().over(in_file) - 1).withColumn("copy", F.row_number().over(same)).withColumn("hash", hashed)
 
 
 def _joined(hashes: str, order: str) -> Column:
@@ -108,23 +116,25 @@ def _joined(hashes: str, order: str) -> Column:
 
 
 def tree(leaves: DataFrame, depth: int) -> DataFrame:
-    """(level, node, parent, hash) of all nodes. Level 0 is the root, 1 to TRIE the trie, TRIE + 1 the
-    files, and the depth - 1 levels below are groups of FANOUT ** k records, down to FANOUT."""
-    levels = []
-    rows = leaves.select("file", F.col("seq").alias("n"), "offset", (F.col("offset") + F.col("length")).alias("end"), "hash")
+    """(side, level, node, parent, hash) of all nodes. Level 0 is the root, the trie's others follow, then the
+    files, then depth - 1 levels of groups of records, down to FANOUT.
+
+    The groups of a file stay where the file is, so all levels below files take one exchange."""
+    levels, files = [], len(TRIE)
+    rows = leaves.select("side", "file", F.col("seq").alias("n"), "offset", (F.col("offset") + F.col("length")).alias("end"), "hash").repartition("side", "file")
     for k in range(depth, 0, -1):
-        rows = rows.groupBy("file", F.expr(f"n div {FANOUT}").alias("n")).agg(
+        rows = rows.groupBy("side", "file", F.expr(f"n div {FANOUT}").alias("n")).agg(
             F.min("offset").alias("offset"), F.max("end").alias("end"), _joined("hash", "n").alias("below")
-        ).select("file", "n", "offset", "end", F.sha2(F.concat_ws(":", F.lit("range"), "offset", "end", "below"), 256).alias("hash"))
+        ).select("side", "file", "n", "offset", "end", F.sha2(F.concat_ws(":", F.lit("range"), "offset", "end", "below"), 256).alias("hash"))
         node = F.concat_ws("/", "file", "n") if k > 1 else F.col("file")
-        parent = F.concat_ws("/", "file", F.expr(f"n div {FANOUT}")) if k > 2 else F.col("file") if k == 2 else F.substring(F.md5("file"), 1, TRIE)
-        levels.append(rows.select(F.lit(TRIE + k).alias("level"), node.alias("node"), parent.alias("parent"), "hash"))
-    above = rows.select(F.substring(F.md5("file"), 1, TRIE).alias("node"), F.col("file").alias("child"), "hash")
-    for k in range(TRIE, -1, -1):
-        nodes = above.groupBy("node").agg(F.sha2(F.concat(F.lit("names:"), _joined("hash", "child")), 256).alias("hash"))
-        parent = F.substring("node", 1, k - 1) if k else F.lit(None).cast("string")
-        levels.append(nodes.select(F.lit(k).alias("level"), "node", parent.alias("parent"), "hash"))
-        above = nodes.select(F.substring("node", 1, max(k - 1, 0)).alias("node"), F.col("node").alias("child"), "hash")
+        parent = F.concat_ws("/", "file", F.expr(f"n div {FANOUT}")) if k > 2 else F.col("file") if k == 2 else F.substring(F.md5("file"), 1, TRIE[-1])
+        levels.append(rows.select("side", F.lit(files + k - 1).alias("level"), node.alias("node"), parent.alias("parent"), "hash"))
+    above = rows.select("side", F.substring(F.md5("file"), 1, TRIE[-1]).alias("node"), F.col("file").alias("child"), "hash")
+    for k in range(files - 1, -1, -1):
+        nodes = above.groupBy("side", "node").agg(F.sha2(F.concat(F.lit("names:"), _joined("hash", "child")), 256).alias("hash"))
+        higher = F.substring("node", 1, TRIE[k - 1]) if k else F.lit(None).cast("string")
+        levels.append(nodes.select("side", F.lit(k).alias("level"), "node", higher.alias("parent"), "hash"))
+        above = nodes.select("side", higher.alias("node"), F.col("node").alias("child"), "hash")
     out = levels[0]
     for level in levels[1:]:
         out = out.union(level)
@@ -138,59 +148,58 @@ def root(records: DataFrame) -> str | None:
     return found.hash if found else None
 
 
-def _depth(*replicas: DataFrame) -> int:
-    most = max((leaves.agg(F.max("seq")).first()[0] or 0) for leaves in replicas)
-    depth = 1
+def _depth(leaves: DataFrame) -> int:
+    most, depth = leaves.agg(F.max("seq")).first()[0] or 0, 1
     while most >= FANOUT**depth:
         depth += 1
     return depth
 
 
-def _audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """As audit(), of tables that _leaves() made and cut() keeps."""
-    depth = _depth(first, second)
-    trees = [cut(tree(x, depth)) for x in (first, second)]
-    parents = None
-    for level in range(TRIE + depth + 1):
-        sides = []
-        for nodes, name in zip(trees, ("a", "b"), strict=True):
-            nodes = nodes.filter(F.col("level") == level)
-            if parents is not None:
-                nodes = nodes.join(parents, F.col("parent") == F.col("wanted"), "left_semi")
-            sides.append(nodes.select("node", F.col("hash").alias(name)))
-        differ = sides[0].join(sides[1], "node", "full").filter(~F.col("a").eqNullSafe(F.col("b")))
-        parents = cut(differ.select(F.col("node").alias("wanted")))
-        if parents.isEmpty():
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= MAX_BROADCAST else df
+
+
+def _of_side(side: int, name: str) -> Column:
+    return F.max(F.when(F.col("side") == side, F.col(name)))
+
+
+def audit_all(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(file, record_id, copy, offset, length, sha256, other_offset, other_length, other_sha256, status) of every
+    record of two replicas; status is intact where they agree."""
+    leaves = cut(_leaves(first, second))
+    depth = _depth(leaves)
+    grown = tree(leaves, depth)
+    nodes = cut(grown.coalesce(max(1, int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    differ, n = None, 1
+    for level in range(len(TRIE) + depth):
+        here = nodes.filter(F.col("level") == level)
+        if differ is not None:
+            here = here.join(_small(differ, n), F.col("parent") == F.col("wanted"), "left_semi")
+        both = here.groupBy("node").agg(_of_side(0, "hash").alias("a"), _of_side(1, "hash").alias("b"))
+        differ = cut(both.filter(~F.col("a").eqNullSafe(F.col("b"))).select(F.col("node").alias("wanted")))
+        n = differ.count()
+        if not n:
             break
     group = F.concat_ws("/", "file", F.expr(f"seq div {FANOUT}")) if depth > 1 else F.col("file")
-    sides = []
-    for leaves, names in ((first, ("offset", "length", "sha256")), (second, ("other_offset", "other_length", "other_sha256"))):
-        found = leaves.withColumn("__group", group).join(parents, F.col("__group") == F.col("wanted"), "left_semi")
-        sides.append(found.select("file", "record_id", "copy", *(F.col(x).alias(y) for x, y in zip(("offset", "length", "sha256"), names, strict=True))))
+    keys, names = ["file", "record_id", "copy"], ["offset", "length", "sha256"]
+    grouped = leaves.withColumn("__group", group)
+    below = grouped.join(_small(differ, n), F.col("__group") == F.col("wanted"), "left_semi")
+    paired = below.groupBy(*keys).agg(*(_of_side(0, c).alias(c) for c in names), *(_of_side(1, c).alias(f"other_{c}") for c in names))
     status = (
         F.when(F.col("other_sha256").isNull(), "missing")
         .when(F.col("sha256").isNull(), "extra")
         .when(F.col("sha256") != F.col("other_sha256"), "corrupt")
         .when(F.col("offset") != F.col("other_offset"), "moved")
+        .otherwise("intact")
     )
-    return sides[0].join(sides[1], ["file", "record_id", "copy"], "full").withColumn("status", status).filter("status is not null")
+    elsewhere = grouped.filter("side = 0").join(_small(differ, n), F.col("__group") == F.col("wanted"), "left_anti")
+    agreed = elsewhere.select(*keys, *names, *(F.col(c).alias(f"other_{c}") for c in names), F.lit("intact").alias("status"))
+    return paired.withColumn("status", status).select(agreed.columns).union(agreed)
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(file, record_id, copy, offset, length, sha256, other_offset, other_length, other_sha256, status) of
-    every record in which two replicas differ."""
-    return _audit(cut(_leaves(first)), cut(_leaves(second)))
-
-
-def audit_all(first: DataFrame, second: DataFrame) -> DataFrame:
-    """As audit(), with a row for every record: status is intact where the replicas agree."""
-    leaves = cut(_leaves(first))
-    found = cut(_audit(leaves, cut(_leaves(second))))
-    keys = ["file", "record_id", "copy"]
-    intact = leaves.join(found.select(*keys), keys, "left_anti").select(
-        *keys, "offset", "length", "sha256", F.col("offset").alias("other_offset"), F.col("length").alias("other_length"), F.col("sha256").alias("other_sha256"), F.lit("intact").alias("status")
-    )
-    return found.select(intact.columns).union(intact)
+    """The rows of audit_all() in which the replicas differ."""
+    return audit_all(first, second).filter("status <> 'intact'")
 
 
 #: The faults of the second replica in op5: pages by the first two hex digits of md5(page_id).
