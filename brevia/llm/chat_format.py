@@ -143,34 +143,35 @@ def _result_json(call_id: Column, text: Column) -> Column:
     return form(call_id, text)
 
 
-def _ranks(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """(conv_id, call_id, rank, result_rank, cyclic) of calls (conv_id, call_id, turn, refs), one row each;
-    results: (conv_id, call_id, answered: their turn)."""
+def _linked(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(conv_id, call_id, turn, refs, answered) of every identifier: its first call, what that refers to, and the
+    turn of its first result; turn is null where there is no call. One hash join."""
+    who = ["conv_id", "call_id"]
+    refs = F.regexp_extract_all(F.coalesce(F.col("arguments"), F.lit("")), F.lit(r'"\$call:([^"\\]+)"'), F.lit(1))
+    asked = calls.groupBy(*who).agg(F.min(F.struct("turn", F.array_distinct(refs).alias("refs"))).alias("first"), F.count(F.lit(1)).alias("n_calls"))
+    answered = results.groupBy(*who).agg(F.min("turn").alias("answered"))
+    return cut(asked.hint("shuffle_hash").join(answered, who, "full").select(*who, "first.turn", "first.refs", "answered", F.col("n_calls").isNotNull().alias("called")))
+
+
+def _ranks(linked: DataFrame) -> DataFrame:
+    """linked with rank, result_rank and cyclic. A round ranks the calls all of whose references are ranked."""
     who = ["conv_id", "call_id"]
-    both = calls.join(results, who, "left")
-    edges = calls.select(*who, F.explode("refs").alias("ref")).distinct()
-    there = calls.select("conv_id", F.col("call_id").alias("ref"))
-    edges = cut(edges.join(there, ["conv_id", "ref"]))  # references to calls that aren't there are ignored
-    free = both.join(edges.select(*who).distinct(), who, "left_anti").withColumn("rank", F.col("turn"))
-    waiting = cut(both.join(edges.select(*who).distinct(), who, "left_semi"))
     after = F.when(F.col("answered").isNotNull(), F.greatest("answered", F.col("rank") + 1))
-    done = cut(free.select(*who, "rank", after.alias("result_rank")))
-    left = waiting.count()
-    while left:
-        known = done.select("conv_id", F.col("call_id").alias("ref"), F.coalesce("result_rank", "rank").alias("end"))
-        ends = edges.join(waiting.select(*who), who, "left_semi").join(known, ["conv_id", "ref"], "left")
-        ready = ends.groupBy(*who).agg(F.count(F.when(F.col("end").isNull(), 1)).alias("open"), F.max("end").alias("end")).filter("open = 0")
-        fresh = cut(waiting.join(ready, who).withColumn("rank", F.greatest("turn", F.col("end") + 1)).select(*who, "rank", after.alias("result_rank")))
-        n = fresh.count()
-        if not n:
+    rank = F.when(F.coalesce(F.size("refs"), F.lit(0)) <= 0, F.col("turn"))
+    state = linked.withColumn("rank", rank).withColumn("waits", F.coalesce(F.size("refs"), F.lit(0)) > 0)
+    waiting = state.filter("waits").count()
+    while waiting:
+        wanted = state.filter("waits").select(*who, F.explode("refs").alias("ref"))
+        there = state.filter("called").select("conv_id", F.col("call_id").alias("ref"), "waits", F.greatest(after, "rank").alias("end"))
+        found = wanted.join(there, ["conv_id", "ref"], "left")  # references to calls that aren't there end nowhere
+        ready = found.groupBy(*who).agg(F.max("end").alias("end"), F.count_if(F.coalesce("waits", F.lit(False))).alias("open")).filter("open = 0").select(*who, "end", F.lit(True).alias("ready"))
+        now = F.coalesce("ready", F.lit(False))
+        state = state.join(ready, who, "left").withColumn("rank", F.when(now, F.greatest("turn", F.col("end") + 1)).otherwise(F.col("rank"))).withColumn("waits", F.col("waits") & ~now)
+        state = cut(state.select(*linked.columns, "rank", "waits"))
+        before, waiting = waiting, state.filter("waits").count()
+        if waiting == before:
             break
-        done = cut(done.union(fresh))
-        waiting = cut(waiting.join(fresh.select(*who), who, "left_anti"))
-        left -= n
-    if not left:
-        return done.withColumn("cyclic", F.lit(False))
-    stuck = waiting.withColumn("rank", F.col("turn")).select(*who, "rank", after.alias("result_rank"), F.lit(True).alias("cyclic"))
-    return done.withColumn("cyclic", F.lit(False)).union(stuck)
+    return state.withColumn("rank", F.when(F.col("waits"), F.col("turn")).otherwise(F.col("rank"))).withColumn("result_rank", after).withColumnRenamed("waits", "cyclic")
 
 
 def link(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
@@ -180,19 +181,16 @@ def link(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: dic
     results: (conv_id, turn, call_id, text).
     """
     who = ["conv_id", "call_id"]
-    refs = F.regexp_extract_all(F.coalesce(F.col("arguments"), F.lit("")), F.lit(r'"\$call:([^"\\]+)"'), F.lit(1))
-    first_calls = cut(calls.groupBy(*who).agg(F.min(F.struct("turn", "name", "arguments")).alias("first")).select(*who, F.col("first.turn").alias("turn"), "first.arguments").select(*who, "turn", F.array_distinct(refs).alias("refs")))
-    first_results = results.groupBy(*who).agg(F.min("turn").alias("answered"))
-    ranks = cut(_ranks(first_calls, first_results))
+    ranks = cut(_ranks(_linked(calls, results)).select(*who, F.col("turn").alias("first"), "answered", "rank", "result_rank", "cyclic"))
 
-    placed = calls.join(ranks, who, "left").join(first_calls.select(*who, F.col("turn").alias("first")), who, "left")
+    placed = calls.select(*who, "turn", "name", "arguments").join(ranks, who, "left")
     status = F.when(F.col("turn") != F.col("first"), "duplicate").when(F.col("cyclic"), "cyclic").when(F.col("result_rank").isNull(), "unanswered").otherwise("linked")
     call_rows = placed.withColumn("__form", _call_json(F.col("call_id"), F.col("name"), F.col("arguments"), schemas)).select(
         "conv_id", "turn", F.lit("call").alias("kind"), "call_id", F.coalesce("rank", "turn").alias("rank"), status.alias("status"), F.col("__form.error").alias("error"), F.col("__form.json").alias("json")
     )
-    answered = results.join(ranks, who, "left").join(first_results, who, "left")
+    answers = results.select(*who, "turn", "text").join(ranks, who, "left")
     status = F.when(F.col("rank").isNull(), "orphan").when(F.col("turn") != F.col("answered"), "duplicate").otherwise("linked")
-    result_rows = answered.select("conv_id", "turn", F.lit("result").alias("kind"), "call_id", F.greatest("turn", "result_rank").alias("rank"), status.alias("status"), F.lit(None).cast("string").alias("error"), _result_json(F.col("call_id"), F.col("text")).alias("json"))
+    result_rows = answers.select("conv_id", "turn", F.lit("result").alias("kind"), "call_id", F.greatest("turn", "result_rank").alias("rank"), status.alias("status"), F.lit(None).cast("string").alias("error"), _result_json(F.col("call_id"), F.col("text")).alias("json"))
     message_rows = messages.select("conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.col("turn").alias("rank"), F.lit("message").alias("status"), F.lit(None).cast("string").alias("error"), _message_json(F.col("role"), F.col("text")).alias("json"))
     return message_rows.union(call_rows).union(result_rows)
 
