@@ -169,7 +169,34 @@ def _digest(done: DataFrame) -> DataFrame:
     return done.select("conv_id", "n_messages", "covered", F.size("block_texts").alias("n_blocks"), "newly", "before_tokens", "after_tokens", F.md5(blocks.cast("binary")).alias("digest"))
 
 
-@query()
+def _pruned_sql() -> str:
+    """PLAIN's rolling as a recursive query, for texts that fit a block's source and turns without tools."""
+    c, block = PLAIN, "opening || chr(10) || short || chr(10) || '⟦剪枝结束⟧'"
+    before, after = S.estimate("source"), S.estimate("short")
+    percent = S.rounded("(1 - after::DOUBLE / before) * 100")
+    step = f"""SELECT r.*, p.texts, p.n, least(pos + CASE WHEN pos >= n - {c.prune_keep_recent} THEN {min(c.prune_batch_size, c.prune_keep_recent)} ELSE size END, n - 1) AS stop
+        FROM r JOIN p USING (conv_id) WHERE pos < n - 1 AND made < cap AND chain + list_sum(tokens[pos + 1:n]) > target"""
+    for column in (
+        "array_to_string(texts[pos + 1:stop], chr(10) || chr(10)) AS source",
+        f"{S.trimmed(S.prefix('source', 0.4))} AS short",
+        f"{before} AS before, {after} AS after",
+        f"'⟦历史剪枝·省略' || (stop - pos) || '条消息·保留最近' || (n - stop) || '条·原文≈' || before || '→' || after || ' tokens（' || CASE WHEN {percent} >= 0 THEN '-' ELSE '+' END || abs({percent}) || '%）⟧' AS opening",
+        f"{block} AS block",
+    ):
+        step = f"SELECT *, {column} FROM ({step})"
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, list(text ORDER BY turn) AS texts, list({S.estimate("text")} ORDER BY turn) AS tokens, count(*) AS n FROM conversations GROUP BY conv_id),
+    e AS (SELECT *, list_sum(tokens) / {c.threshold}::DOUBLE AS over FROM c WHERE n > {c.prune_keep_recent} AND list_sum(tokens) > {c.threshold}),
+    p AS (SELECT *, CASE WHEN over > 2 THEN 48 ELSE {c.prune_batch_size} END AS size, greatest(8, least(48, greatest(12, floor(over + 0.5::DOUBLE) * 3))) AS cap FROM e),
+    r AS (SELECT conv_id, 0::BIGINT AS pos, 0 AS made, {c.threshold}::DOUBLE AS target, []::VARCHAR[] AS blocks, 0::BIGINT AS chain FROM p
+        UNION ALL
+        SELECT conv_id, stop, made + 1, {c.prune_budget_tokens}::DOUBLE, list_append(blocks, block), chain + {S.estimate("block")} FROM ({step})
+        WHERE short <> '' AND length(short) < length(source) AND length(short) >= least(80, 0.02::DOUBLE * length(source))),
+    last AS (SELECT * FROM r WHERE made > 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY made DESC) = 1)
+    SELECT conv_id, n::INTEGER AS n_messages, pos::INTEGER AS covered, made::INTEGER AS n_blocks, pos::INTEGER AS newly, list_sum(tokens)::BIGINT AS before_tokens,
+        (chain + list_sum(tokens[pos + 1:n]))::BIGINT AS after_tokens, md5(array_to_string(blocks, chr(10) || chr(10))) AS digest FROM last JOIN p USING (conv_id)"""
+
+
+@query(_pruned_sql())
 def prune_history(spark, sf_dir):
     return _digest(P.prune_history(messages(spark, sf_dir), PrefixBackend(), PLAIN))
 

@@ -215,7 +215,13 @@ def result_reuse(spark, sf_dir):
     return found.select("doc_id", "text_hash", "first_at", (F.col("first_at") < F.col("doc_id")).alias("reused"))
 
 
-@query()
+_RESULT = f"CASE WHEN status = 'distilled' AND admitted THEN {S.distill_line(S.u16('text'), 'before', 'after')} || chr(10) || short || chr(10) || '⟦蒸馏结束⟧' ELSE text END"
+
+
+@query(f"""{_DISTILLED}, a AS (SELECT *, doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 5 <> 0 AND doc_id % 4 <> 2 AND doc_id % 6 <> 0
+        AND {S.u16("text")} * CASE WHEN doc_id % 6 = 1 THEN 2 ELSE 1 END >= 2000 AS admitted FROM s)
+    SELECT doc_id AS exec_id, status = 'distilled' AND admitted AS changed,
+        md5({_RESULT} || CASE doc_id % 6 WHEN 0 THEN chr(10) WHEN 1 THEN chr(10) || {_RESULT} ELSE '' END) AS digest FROM a""")
 def distill_results(spark, sf_dir):
     done = R.distill_results(_results(spark, sf_dir), PrefixBackend(), WHOLE)
     return done.select("exec_id", "changed", md5(F.array_join(F.transform("content", lambda b: F.coalesce(b["text"], F.lit(""))), "\n")).alias("digest"))
