@@ -222,8 +222,8 @@ def prune_assemble(spark, sf_dir):
 def notices(spark, sf_dir):
     """Prune, then distil what is left, then report."""
     sent = messages(spark, sf_dir)
-    pruned = P.prune_history(sent, PrefixBackend(), PLAIN)
-    done = D.distill_messages(P.assemble(sent, pruned), PrefixBackend(), SMALL)
+    pruned = P.prune_history(sent, PrefixBackend(), PLAIN).persist()  # used by what is sent and by the report
+    done = D.distill_messages(P.assemble(sent, pruned), PrefixBackend(), SMALL).persist()
     marks = N.mark_lines(done).withColumn("content_hash", content_hash(F.col("mark")))
     nothing = sent.select("conv_id").distinct().withColumns({"system": F.lit(None).cast("string"), "tools_json": F.lit("[]")})
     return N.notices(pruned, marks, A.breakdown(done, nothing, PLAIN), PLAIN)
