@@ -11,6 +11,7 @@ from brevia.functions.text import content_hash, u16_len
 from brevia.operators.distill import distill, passes_gate
 from brevia.sources.backends import Backend
 
+# Tools whose results are never distilled, and how many texts are remembered.
 OWN_TOOLS = ("local_model_list", "local_model_running", "local_model_chat", "local_model_run", "local_model_distill")
 REUSE_LIMIT = 2000
 
