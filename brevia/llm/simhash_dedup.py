@@ -17,12 +17,17 @@ cells (a query and a word of 64 candidates) are abandoned once all their distanc
 A unit returns a spanning forest of the links that it finds, at most one link for each of its rows,
 never all pairs of a tight group.
 
-Near copies: texts that share four fifths of their five-word shingles are some ten bits of 64 apart,
-beyond any radius whose blocks select well. near_links() finds them by fingerprints of 256 bits over
-distinct five-word shingles, at WIDE_RADIUS or less, with the same comparison. Its tables are keyed by
-random bits, as many tables as find a pair of similarity 0.8 with probability WIDE_RECALL; the distance
-estimates the similarity, so pairs near 0.8 may fall on either side. filter_documents() takes both
-kinds of links together, label() only those of the 64-bit fingerprints.
+Near copies: texts whose sets of distinct five-word shingles have Jaccard similarity ALIKE (4/5) or more,
+near_links(). Nothing is estimated: a pair is a link if its counted shingles say so, and none is missed.
+Two such sets, each in one order of all shingles, share one among their first n - ceil(4n/5) + 1 (the
+prefix), so rows that share a prefix shingle are candidates. Shingles that are frequent in a sample of
+documents come last in that order, which changes cost only. Three bounds that no link exceeds thin them out:
+the sizes, what is left behind the shared shingle, and the bits in which parities of the hashed shingles
+differ (at most the size of the symmetric difference). A shingle with more than WIDE_BUCKET rows or DENSE
+times as many pairs as rows gives a chain of its rows instead of pairs. Components of the candidates are cut
+into tiles of GROUP sets, and every pair of tiles counts the shingles that each two of its sets share.
+filter_documents() takes both kinds of links together, label() only those of the 64-bit fingerprints.
+Fingerprints of 256 bits (wide) only estimate that similarity; no link depends on them.
 
 Repeated rows share a fingerprint and so a component; rows with one doc_id and different texts are
 separate rows. A component's id is its smallest doc_id (null if none has one). Extra columns are
@@ -47,14 +52,21 @@ from brevia.llm.textkit import mix
 RADIUS = 4
 SHINGLE = 4
 BUCKET = 1024
-#: Of the fingerprints for near copies: words, shingle length, radius, similarity and share of bits in which
-#: such texts differ (the angle of sets with Jaccard similarity s has cosine 2s / (1 + s)), recall, bucket.
+#: Near copies: the least similarity as a fraction, sets a tile, pairs a row of a shingle, documents
+#: sampled for frequent shingles, how often one is there, and how many are kept.
+ALIKE = (4, 5)
+GROUP = 512
+DENSE = 16
+SAMPLE = 20_000
+FREQUENT = 4
+MOST_FREQUENT = 100_000
+#: Of the wide fingerprints, which estimate that similarity: words, shingle length, radius, similarity and share of bits in which
+#: such texts differ (the angle of sets with Jaccard similarity s has cosine 2s / (1 + s)); rows of a shingle.
 WORDS = 4
 WIDE_SHINGLE = 5
 WIDE_RADIUS = 46
 WIDE_SIMILARITY = 0.8
 WIDE_DIFFERENCE = math.acos(2 * WIDE_SIMILARITY / (1 + WIDE_SIMILARITY)) / math.pi
-WIDE_RECALL = 0.99
 WIDE_BUCKET = 2048
 TILE = 4096
 ROWS = 256
@@ -136,20 +148,127 @@ def column_fingerprints(column: pa.Array, most: int = 1 << 16, wide: bool = Fals
     return [x.flush() for x in prints]
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
-    """(key, fp long: the fingerprint's 64 bits) of every row, and if wide (w0, w1, ...)."""
-    names = ["fp", *(f"w{k}" for k in range(WORDS * wide))]
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = False) -> DataFrame:
+    """(key, fp long: the fingerprint's 64 bits) of every row, and if near (txt: the text's hash, set: the hash of
+    its set of shingles, n: how many, parity, prefix: the first ones in the order of rank())."""
+    chosen = docs.select(F.col(key), F.col(text).cast("string").cast("binary").alias("text"))
+    often = frequent(chosen) if near else None
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = column_fingerprints(batch.column(1), wide=wide)
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in found)], [key, *names])
+            (fp,) = column_fingerprints(batch.column(1))
+            columns, names = [batch.column(0), pa.array(fp.view(np.int64))], [key, "fp"]
+            if near:
+                sets = [shingle_set(raw.as_py() or b"") for raw in batch.column(1)]
+                n = np.array([len(x) for x in sets], np.int32)
+                columns += [batch.column(2), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array(n)]
+                columns.append(pa.array([parity(x) for x in sets], pa.list_(pa.int64())))
+                columns.append(pa.array([rank(x, *often)[: prefix_length(len(x))].view(np.int64) for x in sets], pa.list_(pa.int64())))
+                names += ["txt", "set", "n", "parity", "prefix"]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         return step
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, {', '.join(f'{x} long' for x in names)}"
-    return map_arrow(docs.select(F.col(key), F.col(text).cast("string").cast("binary").alias("text")), schema, make)
+    schema = f"`{key}` {kind}, fp long"
+    if near:
+        chosen, schema = chosen.withColumn("txt", F.xxhash64("text")), f"{schema}, txt long, set long, n int, parity array<long>, prefix array<long>"
+    return map_arrow(chosen, schema, make)
+
+
+# --- sets of shingles -----------------------------------------------------------------------------
+
+
+def shingle_set(raw: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(raw, WIDE_SHINGLE)[0])
+
+
+def set_hash(hashes: np.ndarray) -> int:
+    """Of a set of shingles, in order."""
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64)))
+
+
+def prefix_length(n: int) -> int:
+    """Sets of n shingles that are alike share one of so many first ones."""
+    return n + (-ALIKE[0] * n // ALIKE[1]) + 1 if n else 0
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """2 to 4 bits a hash, a power of two of words: of each bit, whether the hashes that fall on it are odd in number.
+    Two sets' parities differ in at most as many bits as they have shingles that the other lacks; the xor of a
+    parity's halves is that of half as many words."""
+    bits = 64 << max(0, len(hashes) - 1 >> 5).bit_length()
+    odd = np.bincount((mix(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def rank(hashes: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The hashes in one order of all shingles: frequent ones last, else by hash."""
+    if not len(often):
+        return hashes
+    at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+    return hashes[np.lexsort((hashes, np.where(often[at] == hashes, times[at], 0)))]
+
+
+def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several distinct texts of a sample share, sorted, and how many do."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    drawn = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).distinct()
+
+    def make():
+        return lambda batch: pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(x.as_py() or b"") for x in batch.column(0)]).view(np.int64))], ["h"]) if batch.num_rows else None
+
+    found = map_arrow(drawn, "h long", make).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    rows = found.orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).toArrow()
+    often, times = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(often)
+    return often[order], times[order]
+
+
+def run_pairs(n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of the rows that share a prefix shingle (sizes, in order, and its places): positions u, v of pairs that may be
+    alike, and False; or, if there are too many, a chain that holds them, and True."""
+    p, q = ALIKE
+    if len(n) <= WIDE_BUCKET:
+        us, vs, total = [], [], 0
+        for a in range(len(n) - 1):
+            end = int(np.searchsorted(n, q * n[a] // p, "right"))
+            m, left = n[a + 1 : end], np.minimum(n[a] - at[a], n[a + 1 : end] - at[a + 1 : end])
+            found = np.flatnonzero((p + q) * left >= p * (n[a] + m))
+            us.append(np.full(len(found), a))
+            vs.append(found + a + 1)
+            total += len(found)
+            if total > DENSE * len(n):
+                break
+        else:
+            return np.concatenate([np.empty(0, np.int64), *us]), np.concatenate([np.empty(0, np.int64), *vs]), False
+    u = np.flatnonzero(q * n[:-1] >= p * n[1:])
+    return u, u + 1, True
+
+
+def set_links(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one unit, as forest() gives them, by the number of shingles that each two sets share."""
+    one = not side.any()
+    n = np.array([len(x) for x in sets])
+    doc = np.repeat(np.arange(len(sets)), n)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    doc, token = doc[shared[token]], (np.cumsum(shared) - 1)[token[shared[token]]]
+    order = np.argsort(token, kind="stable")
+    doc, token = doc[order], token[order]
+    left, right = (np.arange(len(sets)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(token, [begin, begin + 4096])
+        has = np.zeros((len(sets), min(4096, int(shared.sum()) - begin)), np.float32)
+        has[doc[a:b], token[a:b] - begin] = 1
+        both += has[left] @ has[right].T
+    p, q = ALIKE
+    u, v = np.nonzero((p + q) * both.astype(np.int64) >= p * (n[left][:, None] + n[right][None, :]))
+    label = np.arange(len(sets))
+    join_up(label, left[u], right[v])
+    at = np.flatnonzero(label != np.arange(len(label)))
+    return at, label[at]
 
 
 # --- bit-sliced comparison ------------------------------------------------------------------------
@@ -300,36 +419,97 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     return _compared(distinct.select("fp"), [F.col("fp").bitwiseAND(_signed(x)) for x in _masks(n)], ["fp"], RADIUS)
 
 
-def _wide_keys(n: int) -> list[list[int]]:
-    """For n fingerprints, the masks of each table: one for each word. Tables are keyed by so many random bits
-    that unrelated fingerprints fill buckets of about WIDE_BUCKET, and are so many that a pair with
-    WIDE_DIFFERENCE meets in one with probability WIDE_RECALL."""
-    width = max(0, math.ceil(math.log2(max(n, 1) / WIDE_BUCKET)))
-    meet = (1 - WIDE_DIFFERENCE) ** width
-    tables = 1 if not width else math.ceil(math.log(1 - WIDE_RECALL) / math.log(1 - meet))
-    draw = np.random.default_rng(42)
-    chosen = (draw.choice(64 * WORDS, width, replace=False).tolist() for _ in range(tables))
-    return [[sum(1 << b % 64 for b in bits if b // 64 == w) for w in range(WORDS)] for bits in chosen]
+def candidates(sets: DataFrame) -> DataFrame:
+    """(u, v): links between rows of sets (set, n, parity, prefix) whose components hold all that are alike."""
+    rows = sets.select(F.posexplode("prefix").alias("at", "token"), "set", "n").select("token", "n", "set", "at")
+    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "set")
 
+    def make_runs(batches):
+        for token, n, key, at in _whole_runs(batches, 1, 4):
+            cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
+            edges = np.concatenate([[0], cuts, [len(token)]])
+            us, vs, chains = [], [], []
+            for a, b in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist(), strict=True):
+                u, v, chain = run_pairs(n[a:b], at[a:b])
+                us.append(key[a + u])
+                vs.append(key[a + v])
+                chains.append(np.full(len(u), chain))
+            if sum(map(len, us)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, chains)], ["u", "v", "chain"])
+
+    found = cut(dealt.mapInArrow(make_runs, "u long, v long, chain boolean").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("chain").alias("chain")))
+    u, v = (sets.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "uv")
+    half = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"
+    pairs = found.filter(~F.col("chain")).join(u, "u").join(v, "v")
+    apart = F.expr(f"aggregate(zip_with({half.format('pu', 'pv')}, {half.format('pv', 'pu')}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)")
+    p, q = ALIKE
+    return found.filter("chain").select("u", "v").union(pairs.filter((p + q) * apart <= (q - p) * (F.col("nu") + F.col("nv"))).select("u", "v"))
+
+
+def near_links(docs: DataFrame, prints: DataFrame, text: str = "text") -> DataFrame:
+    """(u, v): a spanning set of the links between the sets in prints, fingerprints(near) of docs."""
+    sets = cut(prints.filter("n > 0").select("set", "n", "parity", "prefix").dropDuplicates(["set"]))
+    roots = components(candidates(sets))
+    members = cut(roots.select(F.col("node").alias("set"), "root").union(roots.select(F.col("root").alias("set"), "root").distinct()))
+    own = prints.join(members, "set").groupBy("set", "root").agg(F.min("txt").alias("txt"))
+    raw = F.col(text).cast("string").cast("binary")
+    texts = docs.select(F.xxhash64(raw).alias("txt"), raw.alias("text")).join(own, "txt").dropDuplicates(["set"]).select("set", "text")
+    units = _units(members.select("set", F.lit(0).alias("tab"), F.col("root").alias("key")), ["set"], GROUP)
+    dealt = units.join(texts, "set").select("key", "i", "j", "side", "set", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def make_units(batches):
+        for *ids, side, key, raw in _whole_runs(batches, 3, 6):
+            ids = np.stack(ids, 1)
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
+            us, vs = [], []
+            for a, b in itertools.pairwise([0, *cuts.tolist(), len(ids)]):
+                u, v = set_links([shingle_set(x) for x in raw[a:b]], side[a:b])
+                us.append(key[a + u])
+                vs.append(key[a + v])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-def near_links(distinct: DataFrame, n: int) -> DataFrame:
-    """(u, v): fp of near copies among n distinct rows (fp, w0, w1, ...)."""
-    names = [f"w{k}" for k in range(WORDS)]
-    keys = [F.xxhash64(*(F.col(c).bitwiseAND(_signed(x)) for c, x in zip(names, masks, strict=True))) for masks in _wide_keys(n)]
-    return _compared(distinct.select("fp", *names), keys, names, WIDE_RADIUS)
+    return dealt.mapInArrow(make_units, "u long, v long")
 
 
-def _compared(distinct: DataFrame, keys: list[Column], words: list[str], radius: int) -> DataFrame:
-    """(u, v): fp of linked rows of distinct (fp, words...), where rows that share one of keys are compared."""
-    own = list(dict.fromkeys(["fp", *words]))
-    keyed = distinct.select(*own, F.posexplode(F.array(*keys)).alias("tab", "key"))
-    sizes = keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
-    tiles = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int")
+def _whole_runs(batches, ids: int, width: int):
+    """The columns of batches, cut so that rows with the same first ids columns, which follow each other, stay together."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)]
+        if not len(cols[0]):
+            continue
+        last = np.ones(len(cols[0]), bool)
+        for c in cols[:ids]:
+            last &= c == c[-1]
+        rest = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if held and (rest or any(held[-1][k][-1] != cols[k][0] for k in range(ids))):
+            if rest:
+                held.append([c[:rest] for c in cols])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        elif rest:
+            yield [c[:rest] for c in cols]
+        held.append([c[rest:] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _units(keyed: DataFrame, own: list[str], tile: int) -> DataFrame:
+    """(tab, key, i, j, side, own...): the rows of each (tab, key) cut into tiles, and a unit for every two of them."""
+    sizes = keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
+    tiles = F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int")
     tiled = keyed.join(sizes, ["tab", "key"], "left").withColumn("t", tiles).withColumn("tile", F.pmod(F.xxhash64(*own, "tab"), F.col("t")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("t") - 1))
-    units = tiled.select(*own, "tab", "key", "tile", other.alias("other")).select(
+    return tiled.select(*own, "tab", "key", "tile", other.alias("other")).select(
         "tab", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), *own
     )
+
+
+def _compared(distinct: DataFrame, keys: list[Column], words: list[str], radius: int) -> DataFrame:
+    """(u, v): fp of linked rows of distinct (fp, words...), where rows that share one of keys are compared."""
+    own = list(dict.fromkeys(["fp", *words]))
+    keyed = distinct.select(*own, F.posexplode(F.array(*keys)).alias("tab", "key"))
+    units = _units(keyed, own, TILE)
     first = 5 + own.index(words[0])  # where the words begin
     dealt = units.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j")
 
@@ -382,8 +562,11 @@ def label(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool =
     distinct = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
     found = links(distinct.select("fp"), distinct.count())
     if near:
-        wide = cut(prints.drop(key).distinct())
-        found = found.union(near_links(wide, wide.count()))
+        first = cut(prints.filter("n > 0").groupBy("set").agg(F.min("fp").alias("first")))
+        same = prints.filter("n > 0").select("set", "fp").distinct().join(first, "set").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+        u, v = (first.select(F.col("set").alias(x), F.col("first").alias(f"f{x}")) for x in "uv")
+        pairs = near_links(docs, prints, text).distinct().join(u, "u").join(v, "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
+        found = found.union(same.filter("u != v")).union(pairs)
     roots = components(found)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -161,3 +161,57 @@ def test_odd_tables(spark):
     kept = S.filter_documents(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "None"]
     assert S.label(docs.filter(F.lit(False))).count() == 0 and S.filter_documents(docs.filter(F.lit(False))).count() == 0
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_table(n, seed):
+    """Texts with a copy each, whose similarities lie on both sides of 0.8, and a tight group."""
+    draw = np.random.default_rng(seed)
+    texts = []
+    for k in range(n):
+        words = draw.choice(2000, draw.integers(40, 200)).astype(str)
+        for share in (0, draw.uniform(0, 0.06)):
+            copy = words.copy()
+            copy[draw.choice(len(words), round(share * len(words)), replace=False)] = f"c{k}"
+            texts.append(" ".join(["a passage that many of them share in just these words", *copy] if k % 3 else copy))
+    group = draw.choice(2000, 120).astype(str)
+    for _ in range(n // 3):
+        copy = group.copy()
+        edits = draw.integers(1, 4)
+        copy[draw.choice(120, edits, replace=False)] = draw.integers(10**4, 10**5, edits).astype(str)
+        texts.append(" ".join(copy))
+    return [*texts, "", None, "two words", "Two  words"]
+
+
+def check_near(spark, texts):
+    """The stage's components are those of brute force: 0.8 or more of the shingles, or 4 or fewer of 64 bits."""
+    sets = [shingles(t) for t in texts]
+    alike = np.array([[bool(a) and 5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    prints = np.array([brute_print(t) for t in texts], np.uint64)
+    want = brute_components(alike | (np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in S.label(docs, near=True).collect()} == dict(enumerate(want.tolist()))
+    assert sorted(r.doc_id for r in S.filter_documents(docs).collect()) == sorted(set(want.tolist()))
+    return alike
+
+
+def test_near_copies_equal_brute_force(spark):
+    texts = near_table(120, 3)
+    alike = check_near(spark, texts)
+    sims = np.array([similarity(texts[k], texts[k + 1]) for k in range(0, 240, 2)])
+    assert ((sims >= 0.8) & (sims < 0.85)).sum() > 5 and ((sims > 0.7) & (sims < 0.8)).sum() > 5 and 40 < alike[240:280, 240:280].sum() < 1600
+
+
+def test_parities_never_exceed_what_sets_lack():
+    draw = np.random.default_rng(2)
+    for n in (1, 31, 32, 33, 300, 5000):
+        a = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 9], draw.integers(0, 1 << 63, n // 4, dtype=np.uint64)]))
+        p, q = sorted((S.parity(a).view(np.uint64), S.parity(b).view(np.uint64)), key=len)
+        if len(q) > len(p):
+            q = q[: len(p)] ^ q[len(p) :]
+        assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b))
