@@ -206,6 +206,14 @@ def test_near_copies_equal_brute_force(spark):
     assert ((sims >= 0.8) & (sims < 0.85)).sum() > 5 and ((sims > 0.7) & (sims < 0.8)).sum() > 5 and 40 < alike[240:280, 240:280].sum() < 1600
 
 
+@pytest.mark.parametrize(("bucket", "dense", "group"), [(30, 16, 512), (2048, 1, 7), (2, 16, 7)])
+def test_near_copies_of_any_table_size(spark, monkeypatch, bucket, dense, group):
+    """What large tables meet: long runs of a shingle, dense ones, groups of several tiles, frequent shingles."""
+    for name, value in (("WIDE_BUCKET", bucket), ("DENSE", dense), ("GROUP", group), ("MOST_FREQUENT", 50)):
+        monkeypatch.setattr(S, name, value)
+    check_near(spark, near_table(90, bucket + dense))
+
+
 def test_parities_never_exceed_what_sets_lack():
     draw = np.random.default_rng(2)
     for n in (1, 31, 32, 33, 300, 5000):
