@@ -148,9 +148,9 @@ def column_fingerprints(column: pa.Array, most: int = 1 << 16, wide: bool = Fals
     return [x.flush() for x in prints]
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = False) -> DataFrame:
-    """(key, fp long: the fingerprint's 64 bits) of every row, and if near (txt: the text's hash, set: the hash of
-    its set of shingles, n: how many, parity, prefix: the first ones in the order of rank())."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = False, hashed: bool = False) -> DataFrame:
+    """(key, fp long: the fingerprint's 64 bits) of every row, if near or hashed txt: the text's hash, and if near (set:
+    the hash of its set of shingles, n: how many, parity, prefix: the first ones in the order of rank())."""
     chosen = docs.select(F.col(key), F.col(text).cast("string").cast("binary").alias("text"))
     often = frequent(chosen) if near else None
 
@@ -158,21 +158,26 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             (fp,) = column_fingerprints(batch.column(1))
             columns, names = [batch.column(0), pa.array(fp.view(np.int64))], [key, "fp"]
+            if near or hashed:
+                columns.append(batch.column(2))
+                names.append("txt")
             if near:
                 sets = [shingle_set(raw.as_py() or b"") for raw in batch.column(1)]
                 n = np.array([len(x) for x in sets], np.int32)
-                columns += [batch.column(2), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array(n)]
+                columns += [pa.array([set_hash(x) for x in sets], pa.int64()), pa.array(n)]
                 columns.append(pa.array([parity(x) for x in sets], pa.list_(pa.int64())))
                 columns.append(pa.array([rank(x, *often)[: prefix_length(len(x))].view(np.int64) for x in sets], pa.list_(pa.int64())))
-                names += ["txt", "set", "n", "parity", "prefix"]
+                names += ["set", "n", "parity", "prefix"]
             return pa.RecordBatch.from_arrays(columns, names)
 
         return step
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, fp long"
+    if near or hashed:
+        chosen, schema = chosen.withColumn("txt", F.xxhash64("text")), f"{schema}, txt long"
     if near:
-        chosen, schema = chosen.withColumn("txt", F.xxhash64("text")), f"{schema}, txt long, set long, n int, parity array<long>, prefix array<long>"
+        schema += ", set long, n int, parity array<long>, prefix array<long>"
     return map_arrow(chosen, schema, make)
 
 
@@ -558,7 +563,12 @@ def _compared(distinct: DataFrame, keys: list[Column], words: list[str], radius:
 def label(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = False) -> DataFrame:
     """(key, fp, component_id) of every row: component_id is the smallest key reachable over links, and with
     near over those of near copies too."""
-    prints = cut(fingerprints(docs, key, text, near))
+    return _labelled(docs, key, text, near, False).select(key, "fp", "component_id")
+
+
+def _labelled(docs: DataFrame, key: str, text: str, near: bool, hashed: bool) -> DataFrame:
+    """label() with the component's root, and if hashed the text's hash txt."""
+    prints = cut(fingerprints(docs, key, text, near, hashed))
     distinct = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
     found = links(distinct.select("fp"), distinct.count())
     if near:
@@ -570,8 +580,8 @@ def label(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool =
     roots = components(found)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(key, "fp", "component_id")
+    by_print = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(by_print, "fp").select(key, "fp", "root", "component_id", *["txt"] * hashed)
 
 
 def hex_column(fp: Column) -> Column:
@@ -579,13 +589,18 @@ def hex_column(fp: Column) -> Column:
 
 
 def filter_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = True) -> DataFrame:
-    """One row of each component, all columns: the one with the component's smallest key (of rows with
-    that key, the first by text). As in GROUP BY, null is one key."""
-    marked = label(docs, key, text, near)
-    stays = marked.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__brevia_key")).distinct()
-    kept = docs.join(stays, F.col(key).eqNullSafe(F.col("__brevia_key")), "left_semi")
-    order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first())
-    return kept.withColumn("__brevia_row", F.row_number().over(order)).filter("__brevia_row = 1").drop("__brevia_row")
+    """One row of each component, all columns: one with the component's smallest key, null last (of rows with that
+    key, the first by the text's hash). Only rows that share key and text are numbered."""
+    marked = _labelled(docs, key, text, near, True)
+    rows = marked.groupBy("root", key, "txt").agg(F.count(F.lit(1)).alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "txt", "n")).alias("x"))
+    stays = cut(least.select(F.col("x.key").alias("__brevia_key"), F.col("x.txt").alias("__brevia_txt"), (F.col("x.n") > 1).alias("__brevia_again")))
+    hashed = docs.withColumn("__brevia_hash", F.xxhash64(F.col(text).cast("string").cast("binary")))
+    same = F.col("__brevia_hash") == F.col("__brevia_txt")
+    kept = hashed.join(stays, same & F.col(key).eqNullSafe(F.col("__brevia_key")))
+    order = Window.partitionBy(key, "__brevia_hash").orderBy(F.col(text).asc_nulls_first())
+    one = kept.filter("__brevia_again").withColumn("__brevia_row", F.row_number().over(order)).filter("__brevia_row = 1")
+    return kept.filter("not __brevia_again").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:

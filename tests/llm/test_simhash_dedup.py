@@ -223,3 +223,14 @@ def test_parities_never_exceed_what_sets_lack():
         if len(q) > len(p):
             q = q[: len(p)] ^ q[len(p) :]
         assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b))
+
+
+def test_one_row_of_each_component_whatever_the_keys(spark):
+    words = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdef"]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (3, words[2]), (3, words[3]), (5, words[2]), (3, words[4]), (3, words[4]), (None, words[4])]
+    docs = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(rows)], "doc_id long, text string, extra int")
+    for near in (False, True):
+        kept = S.filter_documents(docs, near=near)
+        assert kept.columns == docs.columns
+        want = [(None, words[0]), (None, words[1]), (3, words[2]), (3, words[3]), (3, words[4])]
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(k), t) for k, t in want)
