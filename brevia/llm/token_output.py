@@ -16,6 +16,7 @@ without a key come first. Extra columns are left out. An empty table writes and
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -81,11 +82,14 @@ def piece_starts(points: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> n
 
 
 class Encoder:
-    """Ids of string columns."""
+    """Ids of string columns. added: the strings of added tokens in a text are those tokens, as is the library's
+    default; else they are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        names = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, names))) if added and names else None
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self.known = KnownPieces(MOST_PIECES)
 
@@ -111,7 +115,12 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each followed by END, and n + 1 offsets."""
         text, points, at = code_points(data, offsets)
-        starts = piece_starts(points, self.kind(points), at)
+        spans = [x.span() for x in self.added.finditer(text)] if self.added else []
+        spans = np.array([x for x in spans if np.searchsorted(at, x[0], "right") == np.searchsorted(at, x[1] - 1, "right")], np.int64).reshape(-1, 2)
+        starts = piece_starts(points, self.kind(points), np.unique(np.append(at, spans)) if len(spans) else at)
+        if len(spans):  # each is one piece
+            k = np.searchsorted(spans[:, 0], starts, "right") - 1
+            starts = starts[(k < 0) | (starts == spans[k, 0]) | (starts >= spans[k, 1])]
         ends = np.append(starts[1:], len(points))
         distinct, one, which = np.unique(span_keys(points, starts, ends), return_index=True, return_inverse=True)
         new = self.known.missing(distinct)
@@ -124,7 +133,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     """(key, n_tokens, ids) of every row, in order of key within and between partitions."""
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = Encoder(path, added=True)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for k, end, part, at in chunks(data, offsets, CHUNK):

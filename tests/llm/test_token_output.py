@@ -93,3 +93,13 @@ def test_odd_tables(spark, tmp_path, library):
         if rows:
             assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
             assert [r.n_tokens for r in rows] == [len(want(library, t)) for t in ("z z", None, "a a", "a a", "b")]
+
+
+def test_added_tokens_equal_the_library_by_default(spark):
+    plain, draw = Tokenizer.from_file(PATH), random.Random(4)
+    signs = ["'", "s", " ", "  ", "\n", "a", "1", "!", "中", "<|endoftext|>", "<|endoftext|>", "<|endo", "text|>"]
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "don'<|endoftext|>t  <|endoftext|><|endoftext|>", "<|endoftext|", ">", "", None]
+    texts += ["".join(draw.choice(signs) for _ in range(draw.randint(0, 30))) for _ in range(300)]
+    check(plain, S.Encoder(PATH, added=True), texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(list(r.ids) == want(plain, texts[r.doc_id]) for r in S.encode_documents(docs, PATH).collect())
