@@ -31,8 +31,8 @@ from brevia.llm.shared import cut, map_arrow, table_path, tables
 from brevia.llm.textkit import HEAD, chunks, text_bytes
 
 END = 0
-CHUNK = 1 << 21
-MOST_PIECES = 1 << 21
+CHUNK = 1 << 20
+MOST_PIECES = 1 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
@@ -129,15 +129,25 @@ class Encoder:
         return self.known.ids(distinct, which, np.searchsorted(starts, at), END)
 
 
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One for each tokenizer file and worker process: its known pieces last from task to task."""
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
+
+
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids) of every row, in order of key within and between partitions."""
 
     def run(batches):
-        encoder = Encoder(path, added=True)
+        model = encoder(path, added=True)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for k, end, part, at in chunks(data, offsets, CHUNK):
-                ids, ids_at = encoder.encode(part, at)
+                ids, ids_at = model.encode(part, at)
                 column = pa.ListArray.from_arrays(pa.array(ids_at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, end - k), pa.array(np.diff(ids_at).astype(np.int64)), column], [key, "n_tokens", "ids"])
 
