@@ -8,22 +8,27 @@ maxima), so the share of equal samples estimates it.
 
 The random numbers depend on a word's hash and the sample's number alone: every task draws the same
 ones, without a vocabulary to share. r and c come from quantile tables (2**16 and 2**20 steps). They
-are drawn once per distinct (word, weight) of about BLOCK bytes of text; the minima of all documents
-follow by one gather and one reduction. A sample keeps 16 bits of its (word, t).
+are drawn once per distinct (word, weight) of up to PAIRS (document, word) pairs, few rows at a time
+so that they stay in the processor's cache; a document of more pairs is reduced in several parts. The
+least value itself, of 32 bits, tells the (word, t) that it comes from, and a sample keeps a 16-bit
+hash of it.
 
 A document without words has its own fingerprint, all zero, which no other document shares a sample
 with. Null is the empty text. Extra columns are left out. Rows are in order of key, descending, null
-last, rows of one key by text; an empty table gives an empty result.
+last, rows of one key by a hash of the text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import json
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brevia.llm.shared import tables
@@ -31,7 +36,8 @@ from brevia.llm.textkit import U, mix, prefix_hash, span_hash, word_spans
 
 SAMPLES = 128
 BLOCK = 1 << 20
-PAIRS = 1 << 14
+PAIRS = 1 << 17
+ROWS = 256
 
 
 @functools.cache
@@ -43,22 +49,29 @@ def _quantiles(bits: int) -> np.ndarray:
 
 @functools.cache
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    salts = mix(np.arange(1, SAMPLES + 1, dtype=U) * U(0xA24BAED4963EE407))
+    salts = mix(np.arange(1, SAMPLES + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
     return salts, _quantiles(16).astype(np.float32), np.log(_quantiles(20)).astype(np.float32)
 
 
 def _samples(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """words x SAMPLES: an order-keeping form of a in the high half, 32 bits of (word, t) in the low one."""
+    """words x SAMPLES: ln c - r (t - b + 1) as an unsigned number of the same order."""
     salts, gamma, log_gamma = _draws()
-    x = mix(words[:, None] ^ salts[None, :])
-    r = gamma[x & U(0xFFFF)]
-    log_c = log_gamma[(x >> U(16)) & U(0xFFFFF)]
-    b = (x >> U(36) & U(0xFFFFF)).astype(np.float32) * np.float32(2.0**-20)
-    t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + b)
-    a = (log_c - r * (t - b + np.float32(1))).view(np.uint32)
-    ordered = np.where(a >> np.uint32(31), ~a, a | np.uint32(0x80000000)).astype(U)
-    tag = mix(words[:, None] + t.astype(np.int64).astype(U) * U(0xD6E8FEB86659FD93))
-    return (ordered << U(32)) | (tag >> U(32))
+    out = np.empty((len(words), SAMPLES), np.uint32)
+    logs = np.log(weights).astype(np.float32)
+    for k in range(0, len(words), ROWS):
+        x = words[k : k + ROWS, None] * salts
+        x = (x ^ (x >> U(32))) * U(0x94D049BB133111EB)
+        x ^= x >> U(32)
+        low, high = x.view("<u4")[:, 0::2], x.view("<u4")[:, 1::2]
+        r = gamma.take(high >> np.uint32(16))
+        b = (high & np.uint32(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
+        a = log_gamma.take(low >> np.uint32(12)) + r * (b - np.float32(1))
+        more = np.flatnonzero(weights[k : k + ROWS] > 1)  # else t is 0
+        if len(more):
+            a[more] -= r[more] * np.floor(logs[k + more, None] / r[more] + b[more])
+        bits = a.view(np.int32)
+        out[k : k + ROWS] = (bits ^ (bits >> 31 | np.int32(-0x80000000))).view(np.uint32)
+    return out
 
 
 def signatures(texts: list[bytes]) -> np.ndarray:
@@ -72,24 +85,21 @@ def signatures(texts: list[bytes]) -> np.ndarray:
         return out
     words = span_hash(prefix_hash(data), starts, ends)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    salted = words ^ mix(doc.astype(U) + U(1))
-    _, at, weight = np.unique(salted, return_index=True, return_counts=True)
+    _, at, weight = np.unique(words ^ mix(doc.astype(U) + U(1)), return_index=True, return_counts=True)
     order = np.argsort(doc[at], kind="stable")
     at, weight = at[order], weight[order]
-    _, one, which = np.unique(mix(words[at] + weight.astype(U) * U(0xC2B2AE3D27D4EB4F)), return_index=True, return_inverse=True)
-    parts = [_samples(words[at[one[k : k + PAIRS]]], weight[one[k : k + PAIRS]]) for k in range(0, len(one), PAIRS)]
-    drawn = np.concatenate(parts)
-    docs, begin = np.unique(doc[at], return_index=True)
-    end = np.append(begin[1:], len(at))
-    k = 0
-    while k < len(docs):
-        stop = max(int(np.searchsorted(end, begin[k] + PAIRS, "right")), k + 1)
-        if end[k] - begin[k] > PAIRS:  # a document of very many words
-            least = np.minimum.reduce([drawn[which[i : min(i + PAIRS, end[k])]].min(0) for i in range(begin[k], end[k], PAIRS)])[None, :]
-        else:
-            least = np.minimum.reduceat(drawn[which[begin[k] : end[stop - 1]]], begin[k:stop] - begin[k], axis=0)
-        out[docs[k:stop]] = np.maximum(least.astype(np.uint16), 1)
-        k = stop
+    doc, words = doc[at], words[at]
+    least = np.full((len(texts), SAMPLES), 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(at), PAIRS):
+        part = slice(k, k + PAIRS)
+        _, one, which = np.unique(mix(words[part] + weight[part].astype(U) * U(0xC2B2AE3D27D4EB4F)), return_index=True, return_inverse=True)
+        drawn = _samples(words[part][one], weight[part][one])
+        edges = [0, *(np.flatnonzero(np.diff(doc[part])) + 1).tolist(), len(which)]
+        for i, j in itertools.pairwise(edges):
+            d = doc[k + i]
+            np.minimum(least[d], drawn.take(which[i:j], axis=0).min(0), out=least[d])
+    some = np.diff(first) > 0
+    out[some] = np.maximum(least[some] * np.uint32(0x9E3779B1) >> np.uint32(16), 1)
     return out
 
 
@@ -108,33 +118,58 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
+def _literal(values: list, kind: str) -> Column:
+    """An array of numbers that the optimizer makes one constant of."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _rank(values: list[int], x: Column) -> Column:
+    """How many of values, which descend, are greater than x: a search among blocks, then in one of them."""
+    size = max(1, math.isqrt(len(values)))
+    blocks = [values[k : k + size] for k in range(0, len(values), size)]
+    if not blocks:
+        return F.lit(0)
+    whole = F.size(F.filter(_literal([b[-1] for b in blocks], "array<bigint>"), lambda y: y > x))
+    rest = F.get(_literal(blocks, "array<array<bigint>>"), whole)
+    return F.least(whole * size + F.coalesce(F.size(F.filter(rest, lambda y: y > x)), F.lit(0)), F.lit(len(values)))
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, copied, key, text) in partitions by bucket, each sorted, so that a row's successor follows it.
 
-    Order: key descending, null last, then text. Buckets are ranges of key at approximate quantiles, one
-    to a partition; only their bounds and first keys reach the driver. The first row of each bucket is
-    also sent, marked as copied, to the end of the bucket before (the first bucket's to the last), so
-    that no row's successor is missing and nothing is sorted in one place.
+    Order: key descending, null last, then a hash of the text, then text. Buckets are ranges of that order
+    at approximate quantiles of key, one to a partition; a key that spans several quantiles, or null, has as
+    many buckets, by the hash. Only the bounds and each bucket's first key reach the driver. Rows with a
+    bucket's first key are also sent, marked as copied, to the end of the bucket before (the first
+    bucket's to the last), where the first of them counts, so that no row's successor is missing and
+    nothing is sorted in one place.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [k / n for k in range(1, n)]
-    bounds = docs.agg(F.percentile_approx(key, shares, 20 * n)).first()[0] if shares else []
-    bounds = sorted(set(bounds or []), reverse=True)
-    above = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
-    bucket = F.coalesce(F.size(F.filter(above, lambda x: x >= F.col(key))), F.lit(0)).cast("int")
-    rows = docs.select(F.when(F.col(key).isNull(), F.lit(len(bounds) + 1)).otherwise(bucket).alias("bucket"), F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    shares = [k / n for k in range(1, n)] or [0.5]
+    found = docs.agg(F.percentile_approx(key, shares, 20 * n).alias("bounds"), F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys")).first()
+    bounds, times = np.unique(np.array(found.bounds or [], np.int64), return_counts=True)
+    bounds, times = bounds[::-1].tolist(), times[::-1].tolist()
+    before = [0, *np.cumsum(times).tolist()]  # buckets whose bounds are greater than the k-th; also the nulls' first
+    nulls = -(-n * (found.rows - found.keys) // max(1, found.rows))
+    order = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    share = order.cast("double") / F.lit(2.0**64) + 0.5
+    above = _rank(bounds, F.col(key).cast("bigint"))
+    inside = F.when(F.col(key) == F.get(_literal(bounds, "array<bigint>"), above), F.floor(share * F.get(_literal(times, "array<int>"), above))).otherwise(0)
+    last = F.least(F.floor(share * nulls), F.lit(max(nulls - 1, 0))) + before[-1] + 1
+    placed = F.get(_literal(before, "array<int>"), above) + F.coalesce(inside, F.lit(0))
+    rows = docs.select(F.when(F.col(key).isNull(), last).otherwise(placed).cast("int").alias("bucket"), F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), order.alias("hash"))
     heads = dict(rows.groupBy("bucket").agg(F.max("key")).collect())
-    order = sorted(heads)
-    back = dict(zip(order, [order[-1], *order[:-1]], strict=True)) if order else {}
-    size = max(order, default=0) + 1
-    head_of = F.array(*(F.lit(heads.get(k)).cast("bigint") for k in range(size)))
-    back_of = F.array(*(F.lit(back.get(k, 0)) for k in range(size)))
+    present = sorted(heads)
+    back = dict(zip(present, [present[-1], *present[:-1]], strict=True)) if present else {}
+    size = max(present, default=0) + 1
+    head_of = _literal([heads.get(k) for k in range(size)], "array<bigint>")
+    back_of = _literal([back.get(k, 0) for k in range(size)], "array<int>")
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("copied"))
     there = F.struct(F.get(back_of, F.col("bucket")).alias("bucket"), F.lit(1).alias("copied"))
     is_head = F.col("key").eqNullSafe(F.get(head_of, F.col("bucket")))
-    sent = rows.select(F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))).alias("to"), "key", "text").select("to.bucket", "to.copied", "key", "text")
+    sent = rows.select(F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))).alias("to"), "key", "text", "hash").select("to.bucket", "to.copied", "key", "text", "hash")
     dealt = sent.repartitionById(size, F.col("bucket"))
-    return dealt.sortWithinPartitions("bucket", "copied", F.col("key").desc_nulls_last(), "text")
+    return dealt.sortWithinPartitions("bucket", "copied", F.col("key").desc_nulls_last(), "hash", "text").select("bucket", "copied", "key", "text")
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -146,9 +181,10 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
         if not own:
             return None
         changed = [edited(rows[a][3], rows[b][3]).encode() for a, b in own]
-        found = signatures([r[3].encode() for r in rows] + changed)
+        later = dict(zip((a for a, _ in own), changed, strict=True))
+        found = signatures([x for k, r in enumerate(rows) for x in (r[3].encode(), later.get(k, b""))])
         a, b = (np.array(x) for x in zip(*own, strict=True))
-        mine, after = found[a], found[len(rows) :]
+        mine, after, found = found[2 * a], found[2 * a + 1], found[0::2]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[k][2] for k in a], pa.int64()), pa.array([len(rows[k][3]) for k in a], pa.int64()),
@@ -165,6 +201,8 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
             columns = [batch.column(k) for k in range(3)]
             for k, words in enumerate(batch.column(3)):
                 row = (*(c[k].as_py() for c in columns), words.as_py())
+                if row[1] and held and held[-1][1]:
+                    continue  # the first of the copied rows is the successor
                 held.append(row)
                 n += len(row[3])
                 if n > BLOCK and len(held) > 1:
