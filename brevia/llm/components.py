@@ -4,7 +4,8 @@ Large-star links every larger neighbour of a node to the smallest node near it,
 smaller one; both keep the components and, alternated, end in stars round each component's
 smallest node after a number of rounds that grows with the logarithm of the longest chain. Every
 round is two aggregations and joins on the node, cut into the shared folder; nothing but one count
-and one checksum a round reaches the driver.
+and one checksum a round reaches the driver. Nodes of very many links are joined by a bounded
+broadcast. Links with a null end are no links.
 """
 
 from __future__ import annotations
@@ -12,19 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brevia.llm.shared import cut
+from brevia.llm.shared import cut, spread_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return spread_join(both.filter("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = spread_join(down, least, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -43,7 +44,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges, state[0]), state[0]))  # neither star adds links
         before, state = state, _state(edges)
         if state == before:
             break

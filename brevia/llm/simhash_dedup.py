@@ -46,8 +46,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevia.llm.components import components
-from brevia.llm.shared import cut, map_arrow, tables
-from brevia.llm.textkit import mix
+from brevia.llm.shared import cut, map_arrow, spread_join, tables
+from brevia.llm.textkit import mix, shingle_sets
 
 RADIUS = 4
 SHINGLE = 4
@@ -162,7 +162,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near:
                 columns.append(batch.column(2))
                 names.append("txt")
             if near:
-                sets = [shingle_set(raw.as_py() or b"") for raw in batch.column(1)]
+                sets = list(shingle_sets(batch.column(1), WIDE_SHINGLE))
                 n = np.array([len(x) for x in sets], np.int32)
                 columns += [pa.array([set_hash(x) for x in sets], pa.int64()), pa.array(n)]
                 columns.append(pa.array([parity(x) for x in sets], pa.list_(pa.int64())))
@@ -184,10 +184,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near:
 # --- sets of shingles -----------------------------------------------------------------------------
 
 
-def shingle_set(raw: bytes) -> np.ndarray:
-    return np.unique(shingle_hashes(raw, WIDE_SHINGLE)[0])
-
-
 def set_hash(hashes: np.ndarray) -> int:
     """Of a set of shingles, in order."""
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64)))
@@ -208,11 +204,11 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 
 def rank(hashes: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The hashes in one order of all shingles: frequent ones last, else by hash."""
-    if not len(often):
+    """Sorted hashes in one order of all shingles: frequent ones last, else by hash."""
+    if not len(often) or not len(hashes):
         return hashes
     at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
-    return hashes[np.lexsort((hashes, np.where(often[at] == hashes, times[at], 0)))]
+    return hashes[np.argsort(np.where(often[at] == hashes, times[at], 0), kind="stable")]
 
 
 def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +217,7 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     drawn = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).distinct()
 
     def make():
-        return lambda batch: pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(x.as_py() or b"") for x in batch.column(0)]).view(np.int64))], ["h"]) if batch.num_rows else None
+        return lambda batch: pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(shingle_sets(batch.column(0), WIDE_SHINGLE))).view(np.int64))], ["h"]) if batch.num_rows else None
 
     found = map_arrow(drawn, "h long", make).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
     rows = found.orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).toArrow()
@@ -468,7 +464,7 @@ def near_links(docs: DataFrame, prints: DataFrame, text: str = "text") -> DataFr
             cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
             us, vs = [], []
             for a, b in itertools.pairwise([0, *cuts.tolist(), len(ids)]):
-                u, v = set_links([shingle_set(x) for x in raw[a:b]], side[a:b])
+                u, v = set_links(list(shingle_sets(pa.array(raw[a:b], pa.large_binary()), WIDE_SHINGLE)), side[a:b])
                 us.append(key[a + u])
                 vs.append(key[a + v])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
@@ -569,8 +565,9 @@ def label(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool =
 def _labelled(docs: DataFrame, key: str, text: str, near: bool, hashed: bool) -> DataFrame:
     """label() with the component's root, and if hashed the text's hash txt."""
     prints = cut(fingerprints(docs, key, text, near, hashed))
-    distinct = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
-    found = links(distinct.select("fp"), distinct.count())
+    distinct = cut(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
+    kinds, total = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = links(distinct.select("fp"), kinds)
     if near:
         first = cut(prints.filter("n > 0").groupBy("set").agg(F.min("fp").alias("first")))
         same = prints.filter("n > 0").select("set", "fp").distinct().join(first, "set").select(F.col("first").alias("u"), F.col("fp").alias("v"))
@@ -579,9 +576,10 @@ def _labelled(docs: DataFrame, key: str, text: str, near: bool, hashed: bool) ->
         found = found.union(same.filter("u != v")).union(pairs)
     roots = components(found)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "root", "component_id")
-    return prints.join(by_print, "fp").select(key, "fp", "root", "component_id", *["txt"] * hashed)
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    by_print = spread_join(rooted.withColumnRenamed("n", "rows"), smallest, "root", kinds)
+    by_print = cut(by_print.select("fp", "root", "component_id", F.col("rows").alias("n")))
+    return spread_join(prints, by_print, "fp", total).select(key, "fp", "root", "component_id", *["txt"] * hashed)
 
 
 def hex_column(fp: Column) -> Column:

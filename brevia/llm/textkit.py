@@ -91,10 +91,10 @@ def is_in(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column (null: empty) and its n + 1 offsets, from 0."""
-    column = column.cast(pa.large_string())
+    """The UTF-8 bytes of a string or binary column (null: empty) and its n + 1 offsets, from 0."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     _, where, raw = column.buffers()
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
@@ -147,6 +147,31 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, again
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Of each text its distinct shingles of size words (A-Z lower-cased; fewer words: the whole sequence) as
+    sorted 64-bit keys, which depend on the words alone."""
+    data, offsets = text_bytes(column)
+    step = np.multiply.accumulate(np.full(size, BASE, U))
+    for _, _, part, at in chunks(data, offsets):
+        low = LOWER[part]
+        starts, ends, first = word_spans(low, at)
+        words = span_hash(prefix_hash(low), starts, ends)
+        keys = np.zeros(max(0, len(words) - size + 1), U)
+        for k in range(size):
+            keys += words[k : k + len(keys)] * step[k]
+        keys = mix(keys)
+        first = first.tolist()
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            if b - a >= size:
+                yield np.unique(keys[a : b - size + 1])
+            else:
+                yield mix(np.sum(words[a:b] * step[: b - a], keepdims=True) + U(b - a)) if b > a else np.empty(0, U)
+
+
 STATS = (
     "n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
     "n_upper", "n_letters", "n_digits", "n_final_lines", "n_loud", "n_stop", "n_distinct",
