@@ -23,11 +23,10 @@ Two such sets, each in one order of all shingles, share one among their first n
 prefix), so rows that share a prefix shingle are candidates. Shingles that are frequent in a sample of
 documents come last in that order, which changes cost only. Three bounds that no link exceeds thin them out:
 the sizes, what is left behind the shared shingle, and the bits in which parities of the hashed shingles
-differ (at most the size of the symmetric difference). A shingle with more than WIDE_BUCKET rows or DENSE
+differ (at most the size of the symmetric difference). A shingle with more than RUN_ROWS rows or DENSE
 times as many pairs as rows gives a chain of its rows instead of pairs. Components of the candidates are cut
 into tiles of GROUP sets, and every pair of tiles counts the shingles that each two of its sets share.
 filter_documents() takes both kinds of links together, label() only those of the 64-bit fingerprints.
-Fingerprints of 256 bits (wide) only estimate that similarity; no link depends on them.
 
 Repeated rows share a fingerprint and so a component; rows with one doc_id and different texts are
 separate rows. A component's id is its smallest doc_id (null if none has one). Extra columns are
@@ -53,21 +52,16 @@ RADIUS = 4
 SHINGLE = 4
 BUCKET = 1024
 #: Near copies: the least similarity as a fraction, sets a tile, pairs a row of a shingle, documents
-#: sampled for frequent shingles, how often one is there, and how many are kept.
+#: sampled for frequent shingles, how often one is there, how many are kept, words of a shingle and
+#: rows of a shingle that are compared without a chain.
 ALIKE = (4, 5)
 GROUP = 512
 DENSE = 16
 SAMPLE = 20_000
 FREQUENT = 4
 MOST_FREQUENT = 100_000
-#: Of the wide fingerprints, which estimate that similarity: words, shingle length, radius, similarity and share of bits in which
-#: such texts differ (the angle of sets with Jaccard similarity s has cosine 2s / (1 + s)); rows of a shingle.
-WORDS = 4
-WIDE_SHINGLE = 5
-WIDE_RADIUS = 46
-WIDE_SIMILARITY = 0.8
-WIDE_DIFFERENCE = math.acos(2 * WIDE_SIMILARITY / (1 + WIDE_SIMILARITY)) / math.pi
-WIDE_BUCKET = 2048
+NEAR_SHINGLE = 5
+RUN_ROWS = 2048
 TILE = 4096
 ROWS = 256
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -75,23 +69,24 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def fingerprint(raw: bytes) -> int:
     """The fingerprint of one UTF-8 text."""
-    hashes = shingle_hashes(raw, SHINGLE)[0]
+    hashes = shingle_hashes(raw)
     if not len(hashes):
         return 0
     return int(_majority(hashes, np.array([0]), np.array([len(hashes)]))[0])
 
 
-def shingle_hashes(raw: bytes, *sizes: int) -> list[np.ndarray]:
-    """XXH64 of all shingles of each size, in order. bytes.lower and bytes.split know ASCII only, as is wanted."""
+def shingle_hashes(raw: bytes) -> np.ndarray:
+    """XXH64 of all SHINGLE-word shingles, in order. bytes.lower and bytes.split know ASCII only, as is wanted."""
     words = raw.lower().split()
     if not words:
-        return [np.empty(0, np.uint64) for _ in sizes]
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
+    if len(words) < SHINGLE:
+        return np.array([digest(line, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts, ends = np.append(0, ends[:-1] + 1).tolist(), ends.tolist()
-    spans = ([(0, len(line))] if len(words) < n else zip(starts, ends[n - 1 :], strict=False) for n in sizes)
-    return [np.array([digest(line[a:b], 42) for a, b in some], np.uint64) for some in spans]
+    starts = np.append(0, ends[:-1] + 1)
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[SHINGLE - 1 :].tolist(), strict=False)], np.uint64)
 
 
 def _majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -130,22 +125,12 @@ class _Prints:
         return self.out
 
 
-_SALTS = mix(np.arange(1, WORDS, dtype=np.uint64))
-
-
-def column_fingerprints(column: pa.Array, most: int = 1 << 16, wide: bool = False) -> list[np.ndarray]:
-    """Fingerprints of a binary column, whole texts, and if wide the WORDS words of the wide ones.
-    most bounds the hashes whose bits are held at once."""
-    prints = [_Prints(len(column), most) for _ in range(1 + WORDS * wide)]
+def column_fingerprints(column: pa.Array, most: int = 1 << 16) -> np.ndarray:
+    """Fingerprints of a binary column, whole texts. most bounds the hashes whose bits are held at once."""
+    prints = _Prints(len(column), most)
     for k, raw in enumerate(column):
-        found = shingle_hashes(raw.as_py() or b"", SHINGLE, *[WIDE_SHINGLE] * wide)
-        prints[0].add(k, found[0])
-        if wide:
-            distinct = np.unique(found[1])
-            prints[1].add(k, distinct)
-            for words, salt in zip(prints[2:], _SALTS, strict=True):
-                words.add(k, mix(distinct ^ salt))
-    return [x.flush() for x in prints]
+        prints.add(k, shingle_hashes(raw.as_py() or b""))
+    return prints.flush()
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = False, hashed: bool = False) -> DataFrame:
@@ -156,13 +141,13 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near:
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            (fp,) = column_fingerprints(batch.column(1))
+            fp = column_fingerprints(batch.column(1))
             columns, names = [batch.column(0), pa.array(fp.view(np.int64))], [key, "fp"]
             if near or hashed:
                 columns.append(batch.column(2))
                 names.append("txt")
             if near:
-                sets = list(shingle_sets(batch.column(1), WIDE_SHINGLE))
+                sets = list(shingle_sets(batch.column(1), NEAR_SHINGLE))
                 n = np.array([len(x) for x in sets], np.int32)
                 columns += [pa.array([set_hash(x) for x in sets], pa.int64()), pa.array(n)]
                 columns.append(pa.array([parity(x) for x in sets], pa.list_(pa.int64())))
@@ -217,7 +202,7 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     drawn = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).distinct()
 
     def make():
-        return lambda batch: pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(shingle_sets(batch.column(0), WIDE_SHINGLE))).view(np.int64))], ["h"]) if batch.num_rows else None
+        return lambda batch: pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(shingle_sets(batch.column(0), NEAR_SHINGLE))).view(np.int64))], ["h"]) if batch.num_rows else None
 
     found = map_arrow(drawn, "h long", make).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
     rows = found.orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).toArrow()
@@ -230,7 +215,7 @@ def run_pairs(n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, bo
     """Of the rows that share a prefix shingle (sizes, in order, and its places): positions u, v of pairs that may be
     alike, and False; or, if there are too many, a chain that holds them, and True."""
     p, q = ALIKE
-    if len(n) <= WIDE_BUCKET:
+    if len(n) <= RUN_ROWS:
         us, vs, total = [], [], 0
         for a in range(len(n) - 1):
             end = int(np.searchsorted(n, q * n[a] // p, "right"))
@@ -464,7 +449,7 @@ def near_links(docs: DataFrame, prints: DataFrame, text: str = "text") -> DataFr
             cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
             us, vs = [], []
             for a, b in itertools.pairwise([0, *cuts.tolist(), len(ids)]):
-                u, v = set_links(list(shingle_sets(pa.array(raw[a:b], pa.large_binary()), WIDE_SHINGLE)), side[a:b])
+                u, v = set_links(list(shingle_sets(pa.array(raw[a:b], pa.large_binary()), NEAR_SHINGLE)), side[a:b])
                 us.append(key[a + u])
                 vs.append(key[a + v])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])

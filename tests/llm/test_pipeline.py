@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from brevia.llm import quality_classifier, quality_rules, simhash_dedup, source_mixing
 from brevia.llm.textkit import column_stats
-from tests.llm.test_simhash_dedup import brute_components, brute_print
+from tests.llm.test_simhash_dedup import brute_components, brute_print, shingles
 
 
 @pytest.fixture(scope="module")
@@ -53,11 +53,13 @@ def test_quality_classifier(spark, sf_dir, steps):
 
 
 def test_simhash_dedup(steps):
+    """One document of each group: fingerprints at 4 or fewer of 64 bits, or 0.8 or more of the five-word shingles."""
     before, after = (x.toPandas().sort_values("doc_id", ignore_index=True) for x in steps["simhash_dedup"])
-    narrow, *wide = simhash_dedup.column_fingerprints(pa.array(before.text).cast(pa.binary()), wide=True)
-    assert narrow.tolist() == [brute_print(t) for t in before.text]
-    wide = np.stack(wide, 1)
-    near = (np.bitwise_count(narrow[:, None] ^ narrow[None, :]) <= 4) | (np.bitwise_count(wide[:, None] ^ wide[None, :]).sum(2) <= simhash_dedup.WIDE_RADIUS)
+    prints = np.array([brute_print(t) for t in before.text], np.uint64)
+    sets = [shingles(t) for t in before.text]
+    alike = np.array([[bool(a) and 5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    near = alike | (np.bitwise_count(prints[:, None] ^ prints[None, :]) <= simhash_dedup.RADIUS)
+    assert near.sum() > len(near)
     assert after.doc_id.tolist() == before.doc_id[np.unique(brute_components(near))].tolist()
 
 

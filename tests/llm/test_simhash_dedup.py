@@ -55,12 +55,12 @@ def test_fingerprints_equal_brute_force(spark, sf_dir):
     for r in S.op8_simhash_dedup(spark, sf_dir).collect():
         assert r.fingerprint == f"{brute_print(texts[r.doc_id]):016x}"
     edges = [None, "", " \n", "a", "A b", "a b c d", "É \x1c b c d e", "x " * 30_000]
-    assert S.column_fingerprints(pa.array(edges).cast(pa.binary()), most=1000)[0].tolist() == [brute_print(x) for x in edges]
+    assert S.column_fingerprints(pa.array(edges).cast(pa.binary()), most=1000).tolist() == [brute_print(x) for x in edges]
 
 
 def test_jvm_hash_agrees(spark):
     row = spark.sql("select xxhash64('the end of it') h").first()
-    assert np.uint64(row.h & (1 << 64) - 1) == S.shingle_hashes(b"The end of it", 4)[0][0]
+    assert np.uint64(row.h & (1 << 64) - 1) == S.shingle_hashes(b"The end of it")[0]
 
 
 @pytest.mark.parametrize("sizes", [(1, 1), (63, 130), (300, 700)])
@@ -109,7 +109,7 @@ def similarity(a, b):
 
 @pytest.mark.parametrize("bucket", [2048, 30])
 def test_near_copies_are_found(spark, monkeypatch, bucket):
-    monkeypatch.setattr(S, "WIDE_BUCKET", bucket)
+    monkeypatch.setattr(S, "RUN_ROWS", bucket)
     draw = np.random.default_rng(bucket)
     vocabulary = np.array([f"w{k}" for k in range(3000)])
     texts, pairs = [], []
@@ -129,6 +129,18 @@ def test_near_copies_are_found(spark, monkeypatch, bucket):
     assert kept == set(found.values())
 
 
+def test_frequent_keys_are_joined_apart(spark, monkeypatch):
+    from brevia.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_KEYS", 20)
+    rows = [(k, " ".join(f"{c}{i}" for i in range(30))) for k, c in enumerate(["hot"] * 90 + ["a", "b", "b", "c"])] + [(k, None) for k in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in S.label(docs).collect()}
+    assert found == {k: 0 for k in range(90)} | {90: 90, 91: 91, 92: 91, 93: 93} | {k: 100 for k in range(100, 140)}
+    star = spark.createDataFrame([(7, k) for k in range(1000, 1100)] + [(1050, 3), (5000, 5001)], "u long, v long")
+    assert {r.node: r.root for r in components(star).collect()} == {k: 3 for k in [7, *range(1000, 1100)]} | {5001: 5000}
+
+
 def test_masks_lose_no_link():
     for n in (10, 10**6, 10**9, 10**12):
         masks = S._masks(n)
@@ -209,7 +221,7 @@ def test_near_copies_equal_brute_force(spark):
 @pytest.mark.parametrize(("bucket", "dense", "group"), [(30, 16, 512), (2048, 1, 7), (2, 16, 7)])
 def test_near_copies_of_any_table_size(spark, monkeypatch, bucket, dense, group):
     """What large tables meet: long runs of a shingle, dense ones, groups of several tiles, frequent shingles."""
-    for name, value in (("WIDE_BUCKET", bucket), ("DENSE", dense), ("GROUP", group), ("MOST_FREQUENT", 50)):
+    for name, value in (("RUN_ROWS", bucket), ("DENSE", dense), ("GROUP", group), ("MOST_FREQUENT", 50)):
         monkeypatch.setattr(S, name, value)
     check_near(spark, near_table(90, bucket + dense))
 
