@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,11 +15,15 @@ HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests), a folder of our own."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of our own in local mode (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
-        found = context.getCheckpointDir() or tempfile.mkdtemp(prefix="brevia-")
+        found = context.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        found = tempfile.mkdtemp(prefix="brevia-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,8 +34,15 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/brevia/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of table_path() that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; Spark removes it when it is no longer used."""
+    """df, computed once and kept in the shared folder, until df is garbage if the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints on, else until the folder is cleared."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
