@@ -83,3 +83,28 @@ def test_odd_tables(spark, sf_dir):
     for _, stage in P.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
     assert simhash_dedup.label(docs).count() == 0
+
+
+def test_rows_of_every_kind(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows, shared and null keys, and columns named as inside the stages."""
+    from pyspark.sql import functions as F
+
+    good = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1"), "doc_id").orderBy("doc_id").limit(12).collect()]
+    long = " ".join(f"{w}{k}" for k in range(40) for w in good[0].split())
+    rows = [(k, t, "en", "web") for k, t in enumerate(good)]
+    rows += [(3, good[3], "en", "web"), (4, good[5], "en", "web"), (None, good[6], None, None), (None, None, "en", "web"), (90, "", "", ""), (91, None, None, None), (92, long, "en", "web"), (93, good[7], "en", "web")]
+    names = ["score", "kept", "fp", "component_id", "root", "n", "txt", "rank", "leaf", "epoch", "n_words", "ids"]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *[None] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in names))
+    sizes = []
+    for name, stage in P.STAGES:
+        after = stage(spark, docs, sf_dir)
+        if name != "sentencepiece":
+            assert after.columns == docs.columns, name
+        after.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/kinds-{name}")
+        docs = spark.read.parquet(path)
+        sizes.append(docs.count())
+        if name == "quality_rules":
+            assert docs.filter(F.coalesce("text", F.lit("")) == "").count() == 0
+        if name == "simhash_dedup":
+            assert docs.count() == docs.select("text").distinct().count()
+    assert all(sizes[:3])
