@@ -13,24 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brevia.llm.shared import cut, spread_join
+from brevia.llm.shared import HOT_ROWS, cut, spread_join
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame, n: int, degree: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return spread_join(both.filter("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return spread_join(both.filter("v > u"), least, "u", 2 * n, degree).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
+def _small_star(edges: DataFrame, n: int, degree: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = spread_join(down, least, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+    moved = spread_join(down, least, "u", n, degree).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    """Links, a checksum of them, and the most links of a node."""
+    ends = edges.select(F.explode(F.array("u", "v")).alias("u"), F.xxhash64("u", "v").cast("decimal(38,0)").alias("h"))
+    nodes = ends.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"))
+    return tuple(nodes.agg(F.coalesce(F.sum("n"), F.lit(0)) / 2, F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -44,7 +47,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        edges = cut(_small_star(_large_star(edges, state[0]), state[0]))  # neither star adds links
+        n, _, degree = state
+        large = _large_star(edges, n, degree)
+        if degree > HOT_ROWS:  # a node that many others meet may be near more of them now
+            large = cut(large)
+            n, _, degree = _state(large)
+        edges = cut(_small_star(large, n, degree))
         before, state = state, _state(edges)
         if state == before:
             break

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
+#: A key is frequent if it has more than one in so many of the rows, and more than so many rows.
+HOT_KEYS, HOT_ROWS = 1000, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,15 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """rows (total of them) joined on key with table, which has one row for each key, none null, and n: how many
-    of rows have it. Keys with more than a HOT_KEYS-th of the rows, of which there are fewer than HOT_KEYS, are
-    broadcast, so no task gets all rows of a frequent key. n is left out."""
-    most = max(total // HOT_KEYS, HOT_KEYS)
-    cold = table.filter(F.col("n") <= most).drop("n")
-    if total <= most:
-        return rows.join(cold, key)
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int, largest: int) -> DataFrame:
+    """rows (total of them, at most largest with one key) joined on key with table, which has one row for each key,
+    none null, and n: how many of rows have it. Keys with more than a HOT_KEYS-th of the rows, of which there are
+    fewer than HOT_KEYS, are broadcast, so no task gets all rows of a frequent key. n is left out."""
+    most = max(total // HOT_KEYS, HOT_ROWS)
+    if largest <= most:
+        return rows.join(table.drop("n"), key)
     hot = table.filter(F.col("n") > most).drop("n")
+    cold = table.filter(F.col("n") <= most).drop("n")
     return rows.join(F.broadcast(hot), key).union(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 

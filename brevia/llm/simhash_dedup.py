@@ -551,7 +551,7 @@ def _labelled(docs: DataFrame, key: str, text: str, near: bool, hashed: bool) ->
     """label() with the component's root, and if hashed the text's hash txt."""
     prints = cut(fingerprints(docs, key, text, near, hashed))
     distinct = cut(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
-    kinds, total = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    kinds, total, largest = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     found = links(distinct.select("fp"), kinds)
     if near:
         first = cut(prints.filter("n > 0").groupBy("set").agg(F.min("fp").alias("first")))
@@ -560,11 +560,12 @@ def _labelled(docs: DataFrame, key: str, text: str, near: bool, hashed: bool) ->
         pairs = near_links(docs, prints, text).distinct().join(u, "u").join(v, "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
         found = found.union(same.filter("u != v")).union(pairs)
     roots = components(found)
+    largest_group = roots.groupBy("root").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] + 1
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    by_print = spread_join(rooted.withColumnRenamed("n", "rows"), smallest, "root", kinds)
-    by_print = cut(by_print.select("fp", "root", "component_id", F.col("rows").alias("n")))
-    return spread_join(prints, by_print, "fp", total).select(key, "fp", "root", "component_id", *["txt"] * hashed)
+    by_print = spread_join(rooted.withColumnRenamed("n", "rows"), smallest, "root", kinds, largest_group)
+    by_print = by_print.select("fp", "root", "component_id", F.col("rows").alias("n"))
+    return spread_join(prints, by_print, "fp", total, largest).select(key, "fp", "root", "component_id", *["txt"] * hashed)
 
 
 def hex_column(fp: Column) -> Column:

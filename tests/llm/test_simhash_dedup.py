@@ -130,9 +130,10 @@ def test_near_copies_are_found(spark, monkeypatch, bucket):
 
 
 def test_frequent_keys_are_joined_apart(spark, monkeypatch):
-    from brevia.llm import shared
+    from brevia.llm import components as C, shared
 
-    monkeypatch.setattr(shared, "HOT_KEYS", 20)
+    for module in (shared, C):
+        monkeypatch.setattr(module, "HOT_ROWS", 20)
     rows = [(k, " ".join(f"{c}{i}" for i in range(30))) for k, c in enumerate(["hot"] * 90 + ["a", "b", "b", "c"])] + [(k, None) for k in range(100, 140)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in S.label(docs).collect()}
