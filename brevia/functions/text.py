@@ -35,6 +35,17 @@ def u16(text: str) -> int:
     return len(text) + sum(c > "￿" for c in text) if not text.isascii() else len(text)
 
 
+def u16_tail(text: str, units: int) -> str:
+    """The end of text of at most so many units; no character is cut in two."""
+    if text.isascii() or u16(text) == len(text):
+        return text[-units:] if units > 0 else ""
+    raw = text.encode("utf-16-le", "surrogatepass")
+    at = max(0, len(raw) - 2 * units)
+    if at < len(raw) and 0xDC <= raw[at + 1] <= 0xDF:
+        at += 2
+    return raw[at:].decode("utf-16-le", "surrogatepass")
+
+
 def round_half_up(x: float) -> int:
     return math.floor(x + 0.5)
 
@@ -102,6 +113,21 @@ def u16_len(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("long")
 
 
+def u16_left(c: Column, most: int) -> Column:
+    """A text's beginning of at most so many units; no character is cut in two."""
+    raw = F.encode(c, "UTF-16BE")
+    split = F.hex(F.substring(raw, 2 * most - 1, 1)).between("D8", "DB")
+    return F.when(u16_len(c) <= most, c).otherwise(F.decode(F.substring(raw, F.lit(1), F.when(split, 2 * most - 2).otherwise(2 * most)), "UTF-16BE"))
+
+
+def u16_right(c: Column, most: Column) -> Column:
+    """A text's end of at most so many units; no character is cut in two."""
+    raw, start = F.encode(c, "UTF-16BE"), 2 * (u16_len(c) - most) + 1
+    split = F.hex(F.substring(raw, start.cast("int"), F.lit(1))).between("DC", "DF")
+    begin = F.when(split, start + 2).otherwise(start).cast("int")
+    return F.when(u16_len(c) <= most, c).otherwise(F.decode(F.substring(raw, begin, (2 * u16_len(c)).cast("int")), "UTF-16BE"))
+
+
 def estimate_tokens(c: Column) -> Column:
     cjk = F.regexp_count(c, F.lit(CJK))
     return F.greatest(F.lit(1).cast("long"), rounded(cjk + F.lit(OTHER_WEIGHT) * (u16_len(c) - cjk)))
@@ -131,9 +157,18 @@ def first_line(c: Column) -> Column:
 
 
 def trigram_set(c: Column, units: int = SIMILARITY_UNITS) -> Column:
-    """Distinct trigrams at a text's beginning, for texts without astral characters."""
-    # a look-ahead finds overlapping matches in one pass; a lambda would cut the text anew for each
-    return F.array_distinct(F.regexp_extract_all(F.substring(c, 1, units), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    """Distinct trigrams of code units at a text's beginning, each as the 48-bit number of its three units."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = []
+        for text in texts.to_pylist():
+            unit = np.frombuffer((text or "").encode("utf-16-le", "surrogatepass")[: 2 * units], np.uint16).astype(np.int64)
+            found.append(np.unique(unit[:-2] | unit[1:-1] << 16 | unit[2:] << 32) if len(unit) > 2 else unit[:0])
+        ends = np.cumsum([0, *map(len, found)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
+
+    return run(c)
 
 
 def set_similarity(a: Column, b: Column) -> Column:

@@ -39,8 +39,10 @@ def has_tool_result(role: Column, content: Column) -> Column:
     return (role == "tool") | has_block(content, "tool-result")
 
 
-def has_tool_call(role: Column, content: Column) -> Column:
-    return (role == "assistant") & has_block(content, "tool-call")
+def has_tool_call(role: Column, content: Column, tool_calls: Column | None = None) -> Column:
+    """tool_calls: the array of calls beside the content that older messages carry."""
+    called = has_block(content, "tool-call")
+    return (role == "assistant") & (called if tool_calls is None else called | F.coalesce(F.size(tool_calls) > 0, F.lit(False)))
 
 
 def billed_fragments(role: Column, content: Column) -> Column:
@@ -95,9 +97,8 @@ def breakdown(messages: DataFrame, requests: DataFrame, config: EngineConfig) ->
 
 def positions(priced: DataFrame, config: EngineConfig) -> DataFrame:
     """from_end (1: the last), in_keep_zone, rollable (all but the last), and suffix_tokens: the sum from here on."""
-    ahead = Window.partitionBy("conv_id").orderBy("seq")
     back = Window.partitionBy("conv_id").orderBy(F.col("seq").desc())
-    suffix = ahead.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    suffix = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         priced.withColumn("from_end", F.row_number().over(back))
         .withColumn("in_keep_zone", F.col("from_end") <= config.prune_keep_recent)
@@ -106,11 +107,16 @@ def positions(priced: DataFrame, config: EngineConfig) -> DataFrame:
     )
 
 
-def prune_candidates(priced: DataFrame, config: EngineConfig) -> DataFrame:
-    """(conv_id, n_messages, tokens, eligible) for conversations without a chain yet."""
+def prune_candidates(priced: DataFrame, config: EngineConfig, chained: DataFrame | None = None) -> DataFrame:
+    """(conv_id, n_messages, tokens, eligible). chained: the conv_id of conversations with a valid chain, which are
+    looked at however small they are."""
     sums = priced.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), F.sum("tokens").alias("tokens"))
     on = config.prune_enabled and config.prune_budget_tokens > 0
-    return sums.withColumn("eligible", F.lit(on) & (F.col("n_messages") > config.prune_keep_recent) & (F.col("tokens") > F.lit(float(config.threshold))))
+    due = F.col("tokens") > F.lit(float(config.threshold))
+    if chained is not None:
+        sums = sums.join(chained.select("conv_id").distinct().withColumn("__chained", F.lit(True)), "conv_id", "left")
+        due = due | F.coalesce("__chained", F.lit(False))
+    return sums.withColumn("eligible", F.lit(on) & (F.col("n_messages") > config.prune_keep_recent) & due).drop("__chained")
 
 
 def roll_plan(candidates: DataFrame, config: EngineConfig, has_chain: bool = False) -> DataFrame:
