@@ -121,6 +121,16 @@ def token_chunks_column(c: Column, budget: int) -> Column:
     return _lists("array<string>", lambda t: token_chunks(t, budget))(c)
 
 
+def token_chunks_by(c: Column, budget: Column) -> Column:
+    """token_chunks with a budget for each row."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array, budgets: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else token_chunks(t, b) for t, b in zip(texts.to_pylist(), budgets.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+    return run(c, budget)
+
+
 def truncated_column(c: Column, budget: int) -> Column:
     @F.arrow_udf("struct<content:string,truncated:boolean,original_tokens:long>")
     def run(texts: pa.Array) -> pa.Array:

@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 from brevia.config import EngineConfig
 from brevia.functions.markers import prune_block, strip_prune_lines
-from brevia.functions.text import base36, calibrated, fnv1a, round_half_up, u16
+from brevia.functions.text import base36, calibrated, fingerprint36, fnv1a, round_half_up, u16, u16_len, u16_right, u16_tail
 from brevia.operators.accounting import billed_fragments, flattened_texts, has_tool_call, has_tool_result
 from brevia.operators.distill import accept_history
 from brevia.sources.backends import Backend, BackendError
 
 
+SNAPSHOT = "__prune__snap__"
+
+
 @dataclass(frozen=True)
 class Turn:
     """What rolling needs of a message."""
@@ -61,25 +64,16 @@ def content_hash(turns: list[Turn]) -> str:
     return base36(fnv1a("[" + ",".join(t.content for t in turns) + "]"))
 
 
-def conversation_key(turns: list[Turn]) -> str:
-    return "__prune__snap__" + base36(fnv1a(turns[0].content if turns else '""'))
+def parts_exchange(turns: list[Turn], at: int) -> bool:
+    """Whether a cut before turn at would part a tool result from its call."""
+    return at < len(turns) and (turns[at].is_result or turns[at - 1].is_call)
 
 
 def guard(turns: list[Turn], start: int, end: int) -> int:
-    """end moved back so that no tool result is parted from its call: the turn after the batch is no result,
-    the batch's last turn is no call. A batch that this would leave empty is extended to the end of the
-    exchange instead, but never over the last turn."""
-    back = end
-    while back > start and back < len(turns) and turns[back].is_result:
-        back -= 1
-    while back > start and turns[back - 1].is_call:
-        back -= 1
-    if back > start:
-        return back
-    while end < len(turns) - 1 and (turns[end].is_result or turns[end - 1].is_call):
-        end += 1
-    parted = end < len(turns) and (turns[end].is_result or turns[end - 1].is_call)
-    return start if parted else end
+    """The cut nearest to end that parts no exchange: the last one after start and up to end, else the first one after
+    end that leaves the last turn out, else start, which makes no batch."""
+    cuts = [*range(end, start, -1), *range(end + 1, len(turns))]
+    return next((at for at in cuts if not parts_exchange(turns, at)), start)
 
 
 def source_text(turns: list[Turn], most: int) -> str:
@@ -89,8 +83,12 @@ def source_text(turns: list[Turn], most: int) -> str:
         for text in reversed(turn.texts):
             if room <= 0:
                 break
-            parts.append(text[-room:])
-            room -= u16(parts[-1])
+            part = u16_tail(text, room)
+            if not part:  # half of a character is left
+                room = 0
+                break
+            parts.append(part)
+            room -= u16(part)
     return "\n\n".join(reversed(parts))
 
 
@@ -139,63 +137,74 @@ class Pruned:
     rolled: bool
 
 
-def roll(turns: list[Turn], chain: Chain | None, overhead: int, backend: Backend, config: EngineConfig, known: dict[str, str] | None = None) -> Pruned | None:
-    """One request: the chain it leaves behind, or None if the request stays as it is."""
-    n, keep = len(turns), max(1, config.prune_keep_recent)
+def roll(turns: list[Turn], chain: Chain | None, overhead: int, backend: Backend, config: EngineConfig, known: dict[str, str] | None = None, gone: int = 0) -> Pruned | None:
+    """One request: the chain it leaves behind, or None if the request stays as it is.
+
+    known: blocks by key, which are used again and added to. gone: how many turns before the given ones the caller
+    has dropped, as the chain, which must then be the valid one, covers them; before and after leave them out.
+    """
+    n, keep = gone + len(turns), max(1, config.prune_keep_recent)
     if not config.prune_enabled or config.prune_budget_tokens <= 0 or n <= keep:
         return None
-    suffix = [0]
+    rest = [0]
     for turn in reversed(turns):
-        suffix.append(suffix[-1] + turn.tokens)
-    suffix.reverse()  # suffix[k]: tokens from turn k on
+        rest.append(rest[-1] + turn.tokens)
+    suffix = lambda at: rest[n - at]  # noqa: E731  tokens from turn at on
     factor, limit = config.token_estimate_factor, config.threshold
-    if chain is not None and (chain.covered > n or chain.covered_hash != content_hash(turns[: chain.covered])):
+    if chain is not None and not gone and (chain.covered > n or chain.covered_hash != content_hash(turns[: chain.covered])):
         chain = None
-    if chain is None and suffix[0] + overhead <= limit:
+    if chain is None and suffix(0) + overhead <= limit:
         return None
-    chain = Chain(chain.covered, chain.covered_hash, list(chain.blocks)) if chain else Chain()
+    done = Chain(chain.covered, chain.covered_hash, list(chain.blocks)) if chain else Chain()
     known = {} if known is None else known
-    before, at = chain.covered, chain.covered
-    size, most = plan(chain.tokens(factor) + suffix[at] + overhead, before > 0, config)
-    in_zone = max(1, min(config.prune_batch_size, keep))
+    summaries, at = done.tokens(factor), done.covered
+    size, most = plan(summaries + suffix(at) + overhead, at > 0, config)
+    in_zone = min(size, max(1, min(config.prune_batch_size, keep)))
     target, made = limit, 0
-    while at < n - 1 and made < most:
-        if chain.tokens(factor) + suffix[at] + overhead <= target:
-            break
+    while made < most and at < n - 1 and summaries + suffix(at) + overhead > target:
         target = config.prune_budget_tokens
-        end = guard(turns, at, min(at + (min(in_zone, size) if at >= n - keep else size), n - 1))
-        if end <= at:
+        wanted = min(at + (in_zone if at >= n - keep else size), n - 1)
+        end = gone + guard(turns, at - gone, wanted - gone)
+        batch = turns[at - gone : end - gone]
+        if not batch:
             break
-        batch = turns[at:end]
         key = "__prune__" + content_hash(batch)
-        text = known.get(key) or make_block(source_text(batch, config.prune_max_source_chars), len(batch), n - end, backend, config)
-        if text is None:
-            break
-        known[key] = text
-        chain.blocks.append((key, text))
+        if key not in known:
+            block = make_block(source_text(batch, config.prune_max_source_chars), len(batch), n - end, backend, config)
+            if block is None:
+                break
+            known[key] = block
+        done.blocks.append((key, known[key]))
+        summaries += calibrated(known[key], factor)
         at, made = end, made + 1
     if not at:
         return None
-    chain.covered, chain.covered_hash = at, content_hash(turns[:at])
-    if len(chain.blocks) > max(1, config.prune_chain_max_batches):
-        chain = compact(chain, n - at, backend, config)
-    return Pruned(chain, suffix[0], chain.tokens(factor) + suffix[at], at - before, made > 0)
+    newly, done.covered = at - done.covered, at
+    if not gone:
+        done.covered_hash = content_hash(turns[:at])
+    if len(done.blocks) > max(1, config.prune_chain_max_batches):
+        done = compact(done, n - at, backend, config)
+    return Pruned(done, suffix(gone), done.tokens(factor) + suffix(at), newly, made > 0)
 
 
 # --- DataFrames -----------------------------------------------------------------------------------------
 
 CHAIN = "covered int, covered_hash string, block_keys array<string>, block_texts array<string>"
-RESULT = f"conv_id long, n_messages int, {CHAIN}, newly int, before_tokens long, after_tokens long, chain_key string"
+KNOWN = "known_keys array<string>, known_texts array<string>"
+RESULT = f"conv_id long, n_messages int, {CHAIN}, newly int, before_tokens long, after_tokens long, chain_key string, {KNOWN}"
 
 
 def turns_of(messages: DataFrame, config: EngineConfig) -> DataFrame:
-    """(conv_id, seq, texts, tokens, content, is_result, is_call) of messages; prices are computed in the JVM."""
+    """(conv_id, seq, texts, tokens, content, is_result, is_call) of messages; prices are computed in the JVM. A column
+    tool_calls, an array, counts as calls too; a column overhead is kept."""
     from brevia.operators.accounting import sum_tokens
 
     role, content = F.col("role"), F.col("content")
+    calls = F.col("tool_calls") if "tool_calls" in messages.columns else None
     return messages.select(
         "conv_id", "seq", flattened_texts(content).alias("texts"), sum_tokens(billed_fragments(role, content), config.token_estimate_factor).alias("tokens"),
-        F.to_json("content").alias("content"), has_tool_result(role, content).alias("is_result"), has_tool_call(role, content).alias("is_call"),
+        F.to_json("content").alias("content"), has_tool_result(role, content).alias("is_result"), has_tool_call(role, content, calls).alias("is_call"),
+        *(["overhead"] if "overhead" in messages.columns else []),
     )
 
 
@@ -204,39 +213,65 @@ def read_turns(rows: pd.DataFrame) -> list[Turn]:
     return [Turn(tuple(t), int(n), c, bool(r), bool(k)) for t, n, c, r, k in zip(rows.texts, rows.tokens, rows.content, rows.is_result, rows.is_call, strict=True)]
 
 
-def result_row(conv_id, n: int, done: Pruned) -> tuple:
+def result_row(conv_id, n: int, done: Pruned, known: dict[str, str]) -> tuple:
     keys, texts = [k for k, _ in done.chain.blocks], [t for _, t in done.chain.blocks]
-    return (conv_id, n, done.chain.covered, done.chain.covered_hash, keys, texts, done.newly, done.before, done.after, done.chain.key())
+    return (conv_id, n, done.chain.covered, done.chain.covered_hash, keys, texts, done.newly, done.before, done.after, done.chain.key(), list(known), list(known.values()))
+
+
+def _pruned(conv_id, rows: pd.DataFrame, about, backend: Backend, config: EngineConfig) -> pd.DataFrame:
+    """The row of one conversation; about: what is known of it, a row of EXTRA's columns, or None."""
+    chain, known, overhead = None, {}, 0
+    if about is not None:
+        overhead = 0 if pd.isna(about.overhead) else int(about.overhead)
+        if not pd.isna(about.covered):
+            chain = Chain(int(about.covered), about.covered_hash, list(zip(about.block_keys, about.block_texts, strict=True)))
+        if about.known_keys is not None:
+            known = dict(zip(about.known_keys, about.known_texts, strict=True))
+    turns = read_turns(rows)
+    done = roll(turns, chain, overhead, backend, config, known)
+    return pd.DataFrame([result_row(conv_id, len(turns), done, known)] if done else [], columns=[x.split()[0] for x in RESULT.split(", ")])
 
 
 def prune_history(messages: DataFrame, backend: Backend, config: EngineConfig, chains: DataFrame | None = None, overheads: DataFrame | None = None) -> DataFrame:
-    """One row for each conversation that is pruned: its chain and what it saves.
+    """One row for each conversation that is pruned: its chain, what it saves, and all blocks ever made of it (known).
 
-    chains: (conv_id, covered, covered_hash, block_keys, block_texts) from earlier requests; overheads:
-    (conv_id, overhead) tokens of system text and tools.
+    chains: (conv_id, covered, covered_hash, block_keys, block_texts[, known_keys, known_texts]) from earlier requests,
+    such as these rows or recall(); overheads: (conv_id, overhead) tokens of system text and tools. A conversation is
+    read whole by one task.
     """
-    names = RESULT.replace("array<string>", "a").replace(",", "").split()[::2]
-    extra = messages.select(F.col("conv_id").alias("about_id")).distinct()
-    if overheads is None:
-        extra = extra.withColumn("overhead", F.lit(0))
-    else:
-        extra = extra.join(overheads.select(F.col("conv_id").alias("about_id"), "overhead"), "about_id", "left")
+    turns = turns_of(messages, config).groupBy("conv_id")
+    if chains is None and overheads is None:
+        return turns.applyInPandas(lambda key, rows: _pruned(key[0], rows, None, backend, config), RESULT)
+    fields = [x.split() for x in f"{CHAIN}, {KNOWN}".split(", ")]
+    about = None
     if chains is not None:
-        extra = extra.join(chains.select(F.col("conv_id").alias("about_id"), *(F.col(x.split()[0]).alias(x.split()[0]) for x in CHAIN.split(", "))), "about_id", "left")
-    has_chain = chains is not None
+        about = chains.select(F.col("conv_id").alias("about_id"), *(F.col(n) if n in chains.columns else F.lit(None).cast(k).alias(n) for n, k in fields))
+    if overheads is not None:
+        more = overheads.select(F.col("conv_id").alias("about_id"), F.col("overhead").cast("long").alias("overhead"))
+        about = more if about is None else about.join(more, "about_id", "full")
+    about = about.select("about_id", *(F.col(n) if n in about.columns else F.lit(None).cast(k).alias(n) for n, k in [*fields, ("overhead", "long")]))
+
+    def run(key, rows: pd.DataFrame, extra: pd.DataFrame) -> pd.DataFrame:
+        return _pruned(key[0], rows, extra.iloc[0] if len(extra) else None, backend, config) if len(rows) else pd.DataFrame(columns=[x.split()[0] for x in RESULT.split(", ")])
+
+    return turns.cogroup(about.groupBy("about_id")).applyInPandas(run, RESULT)
+
+
+def conversation_keys(messages: DataFrame) -> DataFrame:
+    """(conv_id, conv_key): a fingerprint of each conversation's first message, which knows it again under another id."""
+    first = messages.groupBy("conv_id").agg(F.min_by(F.to_json("content"), "seq").alias("head"))
+    return first.select("conv_id", F.concat(F.lit(SNAPSHOT), fingerprint36(F.col("head"))).alias("conv_key"))
+
+
+def snapshots(messages: DataFrame, pruned: DataFrame) -> DataFrame:
+    """(conv_key, chain, known blocks) of pruned conversations, to be kept until the next request."""
+    names = [x.split()[0] for x in f"{CHAIN}, {KNOWN}".split(", ")]
+    return pruned.join(conversation_keys(messages), "conv_id").groupBy("conv_key").agg(F.max_by(F.struct(*names), "covered").alias("x")).select("conv_key", "x.*")
 
-    def run(key, rows: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
-        about = about.iloc[0] if len(about) else None
-        chain, overhead = None, 0
-        if about is not None:
-            overhead = 0 if pd.isna(about.overhead) else int(about.overhead)
-            if has_chain and not pd.isna(about.covered):
-                chain = Chain(int(about.covered), about.covered_hash, list(zip(about.block_keys, about.block_texts, strict=True)))
-        turns = read_turns(rows)
-        done = roll(turns, chain, overhead, backend, config)
-        return pd.DataFrame([result_row(key[0], len(turns), done)] if done else [], columns=names)
 
-    return turns_of(messages, config).groupBy("conv_id").cogroup(extra.groupBy("about_id")).applyInPandas(run, RESULT)
+def recall(messages: DataFrame, kept: DataFrame) -> DataFrame:
+    """snapshots() as chains of messages' conversations."""
+    return conversation_keys(messages).join(kept, "conv_key").drop("conv_key")
 
 
 def assemble(messages: DataFrame, pruned: DataFrame) -> DataFrame:
@@ -257,9 +292,9 @@ def source_window(turns: DataFrame, config: EngineConfig) -> DataFrame:
     from pyspark.sql import Window
 
     newer = Window.partitionBy("conv_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("text")
+    size = u16_len(F.col("text"))
     room = F.lit(config.prune_max_source_chars) - F.coalesce(F.sum(size).over(newer), F.lit(0))
-    taken = turns.filter("text <> ''").withColumn("room", room).filter("room > 0").withColumn("part", F.expr("right(text, cast(least(length(text), room) as int))"))
+    taken = turns.filter("text <> ''").withColumn("room", room).filter("room > 0").withColumn("part", u16_right(F.col("text"), F.col("room").cast("int")))
     parts = F.array_sort(F.collect_list(F.struct("seq", "part")))
     return taken.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "\n\n").alias("source"))
 
@@ -269,7 +304,7 @@ def whole_block_window(blocks: DataFrame, most: int) -> DataFrame:
     from pyspark.sql import Window
 
     newest = Window.partitionBy("conv_id").orderBy(F.col("seq").desc())
-    sums = blocks.withColumn("size", F.sum(F.length("text")).over(newest.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(newest))
+    sums = blocks.withColumn("size", F.sum(u16_len(F.col("text"))).over(newest.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(newest))
     taken = sums.filter((F.col("place") == 1) | (F.col("size") <= most))
     parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
     return taken.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_taken"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("source"))

@@ -253,7 +253,7 @@ _BLOCKS = f"""SELECT request, count(*)::INTEGER AS n_files, '{PREAMBLE.rstrip()}
 def _blocks(spark, sf_dir) -> DataFrame:
     """Three documents to a request, as files."""
     path = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt"))
-    return build_block(documents(spark, sf_dir).select(F.expr("doc_id div 3").alias("request"), path.alias("path"), F.col("text").alias("content")), ["request"])
+    return build_block(documents(spark, sf_dir).select(F.expr("doc_id div 3").alias("request"), path.alias("path"), F.col("text").alias("content")), ["request"], order="path")
 
 
 @query(f"SELECT request, n_files, length(block)::INTEGER AS n_chars, md5(block) AS digest FROM ({_BLOCKS})")

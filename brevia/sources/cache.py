@@ -2,33 +2,65 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+log = logging.getLogger("brevia")
 SCHEMA = "content_hash string, content string, inserted long"
 
 
+def _filesystem(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _pointed(spark: SparkSession, path: str) -> str | None:
+    """The name of the current table, from the file that points to it."""
+    pointer, fs = _filesystem(spark, f"{path}/CURRENT")
+    if not fs.exists(pointer):
+        return None
+    line = spark.read.text(f"{path}/CURRENT").first()
+    return line.value if line else None
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The cache at path, empty if there is none or it can't be read; rows without a key are skipped."""
+    """The cache at path, empty if there is none; one that can't be read is empty too, and said so in the log. Rows
+    without a key are skipped."""
+    found = None
     try:
-        current = spark.read.text(f"{path}/CURRENT").first()
-        found = spark.read.parquet(f"{path}/{current.value}") if current else None
-    except AnalysisException:
-        found = None
+        current = _pointed(spark, path)
+        found = spark.read.parquet(f"{path}/{current}") if current else None
+    except AnalysisException as error:
+        log.warning("the cache at %s can't be read and counts as empty: %s", path, error)
     if found is None or not {"content_hash", "content", "inserted"} <= set(found.columns):
         return spark.createDataFrame([], SCHEMA)
     return found.select("content_hash", "content", F.col("inserted").cast("long")).filter("content_hash is not null")
 
 
 def save(cache: DataFrame, path: str) -> None:
-    """Writes a new table beside the old one, then moves the pointer, so readers see one or the other."""
-    name = f"v-{uuid.uuid4().hex}"
+    """Writes a new table beside the old one, then renames a new pointer over the old, so that readers see the one or
+    the other. The table before stays for readers that have begun; older ones go. One writer at a time."""
+    spark, name = cache.sparkSession, f"v-{uuid.uuid4().hex}"
+    before = _pointed(spark, path)
     cache.write.parquet(f"{path}/{name}")
-    pointer = cache.sparkSession.createDataFrame([(name,)], "value string").coalesce(1)
-    pointer.write.mode("overwrite").text(f"{path}/CURRENT")
+    fresh, fs = _filesystem(spark, f"{path}/CURRENT-{name}")
+    pointer, _ = _filesystem(spark, f"{path}/CURRENT")
+    out = fs.create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    rename = getattr(hadoop, "Options$Rename")
+    options = gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, pointer, options)
+    folder, _ = _filesystem(spark, path)
+    for status in fs.listStatus(folder):
+        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in (name, before):
+            fs.delete(status.getPath(), True)
 
 
 def merge(cache: DataFrame, fresh: DataFrame, limit: int) -> DataFrame:

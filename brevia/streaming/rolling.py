@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brevia.config import EngineConfig
-from brevia.operators.prune import Chain, Turn, content_hash, roll, turns_of
+from brevia.operators.prune import Chain, Turn, roll, turns_of
 from brevia.sources.backends import Backend
 
 OUT = "conv_id long, next_seq long, n_open int, covered int, n_blocks int, newly int, open_tokens long, after_tokens long"
@@ -25,8 +25,9 @@ def _load(state: GroupState) -> dict:
     return json.loads(state.get[0]) if state.exists else {"next": 0, "covered": 0, "blocks": [], "open": [], "early": {}}
 
 
-def step(state: dict, rows: list[tuple[int, Turn]], backend: Backend, config: EngineConfig) -> tuple[dict, dict | None]:
-    """Takes turns in; gives the new state and what the request is then, or None if no turn was in order."""
+def step(state: dict, rows: list[tuple[int, Turn]], backend: Backend, config: EngineConfig, overhead: int = 0) -> tuple[dict, dict | None]:
+    """Takes turns in; gives the new state and what the request is then, or None if no turn was in order. overhead:
+    tokens of the request's system text and tools."""
     early = {int(k): Turn(*(tuple(x) if isinstance(x, list) else x for x in v)) for k, v in state["early"].items()}
     for seq, turn in rows:
         if seq >= state["next"]:
@@ -37,20 +38,14 @@ def step(state: dict, rows: list[tuple[int, Turn]], backend: Backend, config: En
         still_open.append(early.pop(at))
         at += 1
     arrived = at > state["next"]
-    blocks, covered, newly = [tuple(b) for b in state["blocks"]], state["covered"], 0
+    chain, covered, newly = Chain(state["covered"], "", [tuple(b) for b in state["blocks"]]), state["covered"], 0
     if arrived:
-        # the covered turns are gone: the chain's tokens stand for them as overhead, and new blocks come on top
-        held = Chain(0, "", blocks)
-        done = roll(still_open, Chain(0, content_hash([]), []) if blocks else None, held.tokens(config.token_estimate_factor), backend, config)
-        if done is not None and done.newly:
-            newly = done.newly
-            blocks += done.chain.blocks
-            covered += done.chain.covered
-            still_open = still_open[done.chain.covered :]
-            if len(blocks) > max(1, config.prune_chain_max_batches):
-                from brevia.operators.prune import compact
-
-                blocks = compact(Chain(covered, "", blocks), len(still_open), backend, config).blocks
+        done = roll(still_open, chain if covered else None, overhead, backend, config, gone=covered)
+        if done is not None:
+            chain, newly = done.chain, done.newly
+            still_open = still_open[chain.covered - covered :]
+            covered = chain.covered
+    blocks = chain.blocks
     flat = lambda t: [list(t.texts), t.tokens, t.content, t.is_result, t.is_call]
     new = {"next": at, "covered": covered, "blocks": blocks, "open": [flat(t) for t in still_open], "early": {k: flat(t) for k, t in early.items()}}
     if not arrived:
@@ -63,14 +58,18 @@ def step(state: dict, rows: list[tuple[int, Turn]], backend: Backend, config: En
 
 
 def prune_stream(messages: DataFrame, backend: Backend, config: EngineConfig) -> DataFrame:
-    """A streaming (conv_id, seq, role, content) frame -> one row for each conversation and micro-batch."""
+    """A streaming (conv_id, seq, role, content) frame -> one row for each conversation and micro-batch. A column
+    overhead gives the tokens of the request's system text and tools; the last one known counts."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = []
+        rows, held = [], _load(state)
         for frame in frames:
             frame = frame.sort_values("seq", kind="stable")
+            if "overhead" in frame and frame.overhead.notna().any():
+                held["overhead"] = int(frame.overhead.dropna().iloc[-1])
             rows += [(int(s), Turn(tuple(t), int(n), c, bool(r), bool(k))) for s, t, n, c, r, k in zip(frame.seq, frame.texts, frame.tokens, frame.content, frame.is_result, frame.is_call, strict=True)]
-        new, out = step(_load(state), rows, backend, config)
+        new, out = step(held, rows, backend, config, held.get("overhead", 0))
+        new["overhead"] = held.get("overhead", 0)
         state.update((json.dumps(new, ensure_ascii=False),))
         if out is not None:
             yield pd.DataFrame([{"conv_id": key[0]} | out])
