@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from brevia.operators import accounting as A
 from brevia.operators import distill as D
 from brevia.operators import notices as N
 from brevia.operators import prune as P
+from brevia.plans import foldsql as W
 from brevia.plans import sqltext as S
 from brevia.plans.registry import query
 from brevia.schema import BLOCK, from_conversations
@@ -108,10 +111,10 @@ def prefix_hash(spark, sf_dir):
     return grouped.select("conv_id", fingerprint36(F.col("head")).alias("first_key"), fingerprint36(F.array_join(F.transform("front", lambda x: x["text"]), "\n")).alias("front_hash"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END AS n_texts, md5(CASE WHEN turn % 2 = 0 THEN text ELSE text || '|' || 'result ' || turn END) AS digest FROM conversations WHERE text <> ''""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN text <> '' THEN 1 ELSE 0 END AS n_texts, md5(CASE WHEN turn % 2 = 0 THEN coalesce(text, '') ELSE coalesce(nullif(text, '') || '|', '') || 'result ' || turn END) AS digest FROM conversations""")
 def flatten_text(spark, sf_dir):
     """Odd turns with a reasoning block, an empty text and a tool result around a text."""
-    rows = turns(spark, sf_dir).filter("text <> ''")
+    rows = turns(spark, sf_dir)
     inner = F.expr("array(struct('text' as type, concat('result ', turn) as text))")
     empty = ", ".join(f"'{k}', cast(null as string)" for k in ("id", "name", "arguments", "tool_call_id"))
     plain = F.expr(f"from_json(to_json(array(named_struct('type', 'text', 'text', text, {empty}))), 'array<{BLOCK}>')")
@@ -169,48 +172,22 @@ def _digest(done: DataFrame) -> DataFrame:
     return done.select("conv_id", "n_messages", "covered", F.size("block_texts").alias("n_blocks"), "newly", "before_tokens", "after_tokens", F.md5(blocks.cast("binary")).alias("digest"))
 
 
-def _pruned_sql() -> str:
-    """PLAIN's rolling as a recursive query, for texts that fit a block's source and turns without tools."""
-    c, block = PLAIN, "opening || chr(10) || short || chr(10) || '⟦剪枝结束⟧'"
-    before, after = S.estimate("source"), S.estimate("short")
-    percent = S.rounded("(1 - after::DOUBLE / before) * 100")
-    step = f"""SELECT r.*, p.texts, p.n, least(pos + CASE WHEN pos >= n - {c.prune_keep_recent} THEN {min(c.prune_batch_size, c.prune_keep_recent)} ELSE size END, n - 1) AS stop
-        FROM r JOIN p USING (conv_id) WHERE pos < n - 1 AND made < cap AND chain + list_sum(tokens[pos + 1:n]) > target"""
-    for column in (
-        "array_to_string(texts[pos + 1:stop], chr(10) || chr(10)) AS source",
-        f"{S.trimmed(S.prefix('source', 0.4))} AS short",
-        f"{before} AS before, {after} AS after",
-        f"'⟦历史剪枝·省略' || (stop - pos) || '条消息·保留最近' || (n - stop) || '条·原文≈' || before || '→' || after || ' tokens（' || CASE WHEN {percent} >= 0 THEN '-' ELSE '+' END || abs({percent}) || '%）⟧' AS opening",
-        f"{block} AS block",
-    ):
-        step = f"SELECT *, {column} FROM ({step})"
-    return f"""WITH RECURSIVE c AS (SELECT conv_id, list(text ORDER BY turn) AS texts, list({S.estimate("text")} ORDER BY turn) AS tokens, count(*) AS n FROM conversations GROUP BY conv_id),
-    e AS (SELECT *, list_sum(tokens) / {c.threshold}::DOUBLE AS over FROM c WHERE n > {c.prune_keep_recent} AND list_sum(tokens) > {c.threshold}),
-    p AS (SELECT *, CASE WHEN over > 2 THEN 48 ELSE {c.prune_batch_size} END AS size, greatest(8, least(48, greatest(12, floor(over + 0.5::DOUBLE) * 3))) AS cap FROM e),
-    r AS (SELECT conv_id, 0::BIGINT AS pos, 0 AS made, {c.threshold}::DOUBLE AS target, []::VARCHAR[] AS blocks, 0::BIGINT AS chain FROM p
-        UNION ALL
-        SELECT conv_id, stop, made + 1, {c.prune_budget_tokens}::DOUBLE, list_append(blocks, block), chain + {S.estimate("block")} FROM ({step})
-        WHERE short <> '' AND length(short) < length(source) AND length(short) >= least(80, 0.02::DOUBLE * length(source))),
-    last AS (SELECT * FROM r WHERE made > 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY made DESC) = 1)
-    SELECT conv_id, n::INTEGER AS n_messages, pos::INTEGER AS covered, made::INTEGER AS n_blocks, pos::INTEGER AS newly, list_sum(tokens)::BIGINT AS before_tokens,
-        (chain + list_sum(tokens[pos + 1:n]))::BIGINT AS after_tokens, md5(array_to_string(blocks, chr(10) || chr(10))) AS digest FROM last JOIN p USING (conv_id)"""
-
-
-@query(_pruned_sql())
+@query(W.pruned_rows(PLAIN))
 def prune_history(spark, sf_dir):
     return _digest(P.prune_history(messages(spark, sf_dir), PrefixBackend(), PLAIN))
 
 
-@query()
-def prune_compact(spark, sf_dir):
-    """One turn to a block, and chains of more than two blocks merged."""
-    from dataclasses import replace
+#: One turn to a block, and chains of more than two blocks merged.
+SHORT = replace(PLAIN, prune_batch_size=1, prune_keep_recent=1, prune_chain_max_batches=2)
 
-    config = replace(PLAIN, prune_budget_tokens=100, prune_batch_size=1, prune_keep_recent=1, prune_chain_max_batches=2)
-    return _digest(P.prune_history(messages(spark, sf_dir), PrefixBackend(), config))
+
+@query(W.pruned_rows(SHORT))
+def prune_compact(spark, sf_dir):
+    return _digest(P.prune_history(messages(spark, sf_dir), PrefixBackend(), SHORT))
 
 
-@query()
+@query(f"""WITH t AS (SELECT conv_id, count(*) AS n, sum({S.estimate("text")}) AS tokens FROM conversations GROUP BY conv_id)
+    SELECT conv_id, coalesce(made + p.n - pos, t.n)::BIGINT AS n_sent, coalesce(chain + list_sum(p.tokens[pos + 1:p.n]), t.tokens)::BIGINT AS tokens, coalesce(made, 0)::BIGINT AS n_blocks FROM t LEFT JOIN {W.pruned(PLAIN)} p USING (conv_id)""")
 def prune_assemble(spark, sf_dir):
     """What is sent after pruning: blocks, then the turns left."""
     sent = messages(spark, sf_dir)
@@ -218,12 +195,12 @@ def prune_assemble(spark, sf_dir):
     return out.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_sent"), F.sum("tokens").alias("tokens"), F.count_if("is_history").alias("n_blocks"))
 
 
-@query()
+@query(W.notices(PLAIN, SMALL))
 def notices(spark, sf_dir):
     """Prune, then distil what is left, then report."""
     sent = messages(spark, sf_dir)
-    pruned = P.prune_history(sent, PrefixBackend(), PLAIN).persist()  # used by what is sent and by the report
-    done = D.distill_messages(P.assemble(sent, pruned), PrefixBackend(), SMALL).persist()
+    pruned = P.prune_history(sent, PrefixBackend(), PLAIN)
+    done = D.distill_messages(P.assemble(sent, pruned), PrefixBackend(), SMALL)
     marks = N.mark_lines(done).withColumn("content_hash", content_hash(F.col("mark")))
     nothing = sent.select("conv_id").distinct().withColumns({"system": F.lit(None).cast("string"), "tools_json": F.lit("[]")})
     return N.notices(pruned, marks, A.breakdown(done, nothing, PLAIN), PLAIN)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from brevia.operators import distill as D
 from brevia.operators import results as R
 from brevia.operators import run as U
 from brevia.operators.notices import mark_totals
+from brevia.plans import foldsql as W
 from brevia.plans import sqltext as S
 from brevia.plans.registry import query
 from brevia.sources.backends import ExtractiveBackend, PrefixBackend
@@ -47,22 +50,20 @@ def doc_chunks(spark, sf_dir):
     return cut.select("doc_id", "pos", u16_len(F.col("chunk")).alias("n_chars"), md5(F.col("chunk")).alias("digest"))
 
 
-@query()
+@query(f"""SELECT id AS doc_id, (unnest(range(len(chunks))))::INTEGER AS pos, unnest(list_transform(chunks, lambda c: {S.estimate("c")})) AS n_tokens, unnest(list_transform(chunks, lambda c: md5(c))) AS digest
+    FROM {W.token_chunks("SELECT doc_id AS id, text AS t, 500 AS budget FROM documents")}""")
 def token_chunks(spark, sf_dir):
     cut = documents(spark, sf_dir).select("doc_id", F.posexplode(token_chunks_column(F.col("text"), 500)).alias("pos", "chunk"))
     return cut.select("doc_id", "pos", estimate_tokens(F.col("chunk")).alias("n_tokens"), md5(F.col("chunk")).alias("digest"))
 
 
-@query()
+@query(f"""SELECT id AS doc_id, truncated, original_tokens, {S.estimate("content")} AS n_tokens, md5(content) AS digest FROM {W.truncated("SELECT doc_id AS id, text AS t, 400 AS budget FROM documents")}""")
 def truncate_docs(spark, sf_dir):
     done = documents(spark, sf_dir).select("doc_id", truncated_column(F.col("text"), 400).alias("x"))
     return done.select("doc_id", "x.truncated", "x.original_tokens", estimate_tokens(F.col("x.content")).alias("n_tokens"), md5(F.col("x.content")).alias("digest"))
 
 
-_TRIGRAMS = "CASE WHEN length({0}) >= 3 THEN list_distinct(list_transform(range(1, length({0}) - 1), lambda k: substring({0}, k, 3))) ELSE [] END"
-
-
-@query(f"""WITH d AS (SELECT doc_id, left(text, 1500) AS head FROM documents), s AS (SELECT doc_id, {_TRIGRAMS.format("head")} AS g FROM d)
+@query(f"""WITH d AS (SELECT doc_id, left(text, 1500) AS head FROM documents), s AS (SELECT doc_id, {W.GRAMS.format("head")} AS g FROM d)
     SELECT a.doc_id, CASE WHEN len(a.g) + len(b.g) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) END AS likeness
     FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
 def doc_similarity(spark, sf_dir):
@@ -123,7 +124,11 @@ def distill_plan(spark, sf_dir):
     return D.call_plan(documents(spark, sf_dir), EngineConfig()).select("doc_id", "seed", "num_predict", "target_percent")
 
 
-@query()
+@query(f"""WITH x AS (SELECT d.*, pieces, error, {S.u16("text")} < 2000 AS passed, array_to_string(pieces, {W.BREAK}) AS short, {S.estimate("text")} AS before
+        FROM documents d JOIN {W.distilled("SELECT doc_id AS id, text AS t FROM documents", CHUNK, W.extract_answer(0.4))} f ON f.id = d.doc_id)
+    SELECT doc_id, CASE WHEN passed THEN 'passed' WHEN error IS NOT NULL THEN 'failed' WHEN pieces IS NULL THEN 'unchanged' ELSE 'distilled' END AS status, CASE WHEN NOT passed THEN before END AS before_tokens,
+        CASE WHEN passed THEN NULL WHEN pieces IS NULL THEN before ELSE {S.estimate("short")} END AS after_tokens,
+        md5(CASE WHEN passed OR pieces IS NULL THEN text ELSE {S.distill_line(S.u16("text"), "before", S.estimate("short"))} || chr(10) || short || chr(10) || '⟦蒸馏结束⟧' END) AS digest FROM x""")
 def distill_documents(spark, sf_dir):
     """The default settings with a backend that keeps lines with facts."""
     done = D.distill(documents(spark, sf_dir), ExtractiveBackend(), EngineConfig(distill_chunk_chars=CHUNK))
@@ -156,27 +161,26 @@ def distill_dedup(spark, sf_dir):
     return D.distill(docs, PrefixBackend(), WHOLE, cache=cache).select("doc_id", "status", md5(F.col("content")).alias("digest"))
 
 
-@query()
+@query(f"""SELECT id AS doc_id, n_parts::INTEGER AS n_chunks, len(pieces)::INTEGER AS n_kept, md5(array_to_string(pieces, {W.BREAK})) AS digest, error FROM {W.distilled("SELECT doc_id AS id, text AS t FROM documents", 200, W.prefix_answer(0.5))}""")
 def chunk_dedup(spark, sf_dir):
-    """Chunks and the summaries that are left once near repetitions are dropped."""
+    """Chunks and the summaries that are left once near repetitions are dropped; null where no chunk got shorter."""
     config = EngineConfig(distill_chunk_chars=200, distill_min_chars=0)
 
-    @F.arrow_udf("struct<n_chunks:int,n_kept:int>")
+    @F.arrow_udf("struct<n_chunks:int,n_kept:int,digest:string,error:string>")
     def count(texts: pa.Array) -> pa.Array:
-        from brevia.functions.chunking import chunk_text
-        from brevia.operators.distill import distill_text
-
         rows = []
         for text in texts.to_pylist():
+            pieces = error = None
             try:
-                n, kept = len(chunk_text(text or "", 200)), distill_text(text or "", PrefixBackend(0.5), config).count("\n\n") + 1
-            except D.BackendError:
-                n, kept = len(chunk_text(text or "", 200)), None
-            rows.append((n, kept))
-        columns = zip(*rows, strict=True) if rows else ([], [])
-        return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in columns], ["n_chunks", "n_kept"])
+                pieces = D.distill_pieces(text or "", PrefixBackend(0.5), config)
+            except D.BackendError as found:
+                error = str(found)
+            rows.append((len(D.chunk_text(text or "", 200)), pieces and len(pieces), pieces and hashlib.md5("\n\n".join(pieces).encode()).hexdigest(), error))
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["n_chunks", "n_kept", "digest", "error"])
 
-    return documents(spark, sf_dir).select("doc_id", count(F.col("text")).alias("x")).select("doc_id", "x.n_chunks", "x.n_kept")
+    return documents(spark, sf_dir).select("doc_id", count(F.col("text")).alias("x")).select("doc_id", "x.*")
 
 
 @query(f"""SELECT doc_id, {S.u16("text")} AS original_chars, {S.estimate("text")} AS before_tokens, {S.estimate("content")} AS after_tokens,
@@ -288,8 +292,23 @@ def auto_strategy(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", U.auto_strategy(told).alias("strategy"))
 
 
-@query()
+_SHARE_OF_FILE = 0.3
+_RUN = f"""WITH t AS (SELECT request, block, {_LIST}[request % {len(INSTRUCTIONS)} + 1] AS instruction FROM ({_BLOCKS})),
+    p AS (SELECT *, {S.estimate("block")} AS content_tokens, greatest(1, 2000 - {S.estimate("instruction")} - 180) AS room FROM t),
+    q AS (SELECT *, greatest(500, floor(room * 0.8::DOUBLE)::BIGINT) AS chunk_budget, CASE WHEN content_tokens <= room THEN 'full' ELSE {_AUTO} END AS strategy FROM p),
+    d AS (SELECT id, coalesce(array_to_string(pieces, {W.BREAK}), block) AS short, f.error, room
+        FROM {W.distilled("SELECT request AS id, block AS t FROM q WHERE strategy = 'distill'", 3000, W.prefix_answer(_SHARE_OF_FILE))} f JOIN q ON f.id = request),
+    c AS (SELECT id, len(chunks) AS n, array_to_string(list_transform(chunks, lambda x: {S.prefix("x", _SHARE_OF_FILE)}), {W.quoted(U.PART_BREAK)}) AS parts
+        FROM {W.token_chunks("SELECT request AS id, block AS t, chunk_budget AS budget FROM q WHERE strategy = 'chunk'")}),
+    a AS (SELECT request AS id, block AS content, NULL AS error FROM q WHERE strategy = 'full'
+        UNION ALL SELECT id, content, NULL FROM {W.truncated("SELECT request AS id, block AS t, room AS budget FROM q WHERE strategy = 'truncate'")}
+        UNION ALL SELECT x.id, content, error FROM {W.truncated("SELECT id, short AS t, room AS budget FROM d")} x JOIN d ON d.id = x.id)
+    SELECT id AS request, strategy, 1 AS n_parts, CASE WHEN error IS NULL THEN md5({S.prefix("content", _SHARE_OF_FILE)}) END AS digest, error FROM a JOIN q ON request = id
+    UNION ALL SELECT id, 'chunk', n::INTEGER, md5(CASE WHEN n > 1 THEN {S.prefix("parts", _SHARE_OF_FILE)} ELSE parts END), NULL FROM c"""
+
+
+@query(_RUN)
 def run_files(spark, sf_dir):
     """The whole map-reduce over files."""
-    done = U.run_over_files(_tasks(spark, sf_dir), PrefixBackend(0.3), TASKS, "request")
+    done = U.run_over_files(_tasks(spark, sf_dir), PrefixBackend(_SHARE_OF_FILE), TASKS, "request")
     return done.select("request", "strategy", "n_parts", md5(F.col("answer")).alias("digest"), "error")
