@@ -141,3 +141,26 @@ def notices(c, d) -> str:
             CASE WHEN is_pruned THEN pos || ' turns summarised, ' || {S.saved("whole", "total")} || ' % saved' || CASE WHEN is_fresh THEN ', ' || n || ' texts shortened' ELSE '' END ELSE row_text END AS summary,
             'sent ' || {thousands("total")} || ' of ' || {thousands("whole")} || ' tokens' || {line("summaries", "history")} || {line("conversation", "conversation")} || CASE WHEN is_fresh THEN chr(10) || card_text ELSE '' END AS text
         FROM s WHERE is_pruned OR is_fresh"""
+
+
+def stability(c) -> str:
+    """pruned_stability() of conversations that settings c prune without ever merging blocks."""
+    suffix = "list_sum(tokens[pos + 1:n])"
+    over = f"(start / {c.threshold}::DOUBLE)"
+    most = f"CASE WHEN {over} > 1 THEN greatest(first, least(48, greatest(12, floor({over} + 0.5::DOUBLE) * 3))) ELSE first END"
+    step = f"""SELECT f.*, c.texts, c.contents, c.tokens, c.total, {suffix} AS rest, CASE WHEN {over} > 2 THEN {max(3 * c.prune_batch_size, 48)} ELSE {c.prune_batch_size} END AS size, {most} AS most FROM f JOIN c USING (conv_id) WHERE n <= total"""
+    for column in (
+        f"n > {c.prune_keep_recent} AND pos < n - 1 AND made < most AND chain + rest > target AS due, least(pos + CASE WHEN pos >= n - {c.prune_keep_recent} THEN least({min(c.prune_batch_size, c.prune_keep_recent)}, size) ELSE size END, n - 1) AS stop",
+        f"array_to_string(texts[pos + 1:stop], {BREAK}) AS source", f"{S.trimmed(S.prefix('source', 0.4))} AS short", f"{S.estimate('source')} AS before, {S.estimate('short')} AS after, due AND {usable('short', 'source')} AS rolls",
+        f"{block_line('(stop - pos)', '(n - stop)', 'before', 'after')} || chr(10) || short || chr(10) || '⟦剪枝结束⟧' AS block", "array_to_string(list_concat(blocks, contents[pos + 1:n]), chr(1)) AS now",
+        "CASE WHEN NOT rolls AND wire IS NOT NULL THEN coalesce(list_position(list_transform(list_zip(string_split(wire, ''), string_split(now, '')), lambda z: z[1] IS DISTINCT FROM z[2]), TRUE) - 1, length(now)) END AS same",
+    ):
+        step = f"SELECT *, {column} FROM ({step})"
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, list(text ORDER BY turn) AS texts, list('[{{"type":"text","text":' || to_json(text) || '}}]' ORDER BY turn) AS contents, list({S.estimate("text")} ORDER BY turn) AS tokens, count(*) AS total FROM conversations GROUP BY conv_id),
+        f AS (SELECT conv_id, 1::BIGINT AS n, 0::BIGINT AS pos, 0 AS made, {c.threshold}::DOUBLE AS target, []::VARCHAR[] AS blocks, 0::BIGINT AS chain, tokens[1]::BIGINT AS start, {max(c.prune_max_new_blocks, 8)} AS first, NULL::VARCHAR AS wire, NULL::DOUBLE AS hit, 0::BIGINT AS rolled_at FROM c
+            UNION ALL
+            SELECT conv_id, CASE WHEN rolls THEN n ELSE n + 1 END, CASE WHEN rolls THEN stop ELSE pos END, CASE WHEN rolls THEN made + 1 ELSE 0 END, CASE WHEN rolls THEN {c.prune_budget_tokens}::DOUBLE ELSE {c.threshold}::DOUBLE END,
+                CASE WHEN rolls THEN list_append(blocks, block) ELSE blocks END, CASE WHEN rolls THEN chain + {S.estimate("block")} ELSE chain END, CASE WHEN rolls THEN start ELSE (chain + list_sum(tokens[pos + 1:n + 1]))::BIGINT END,
+                CASE WHEN rolls THEN first WHEN pos > 0 THEN {c.prune_max_new_blocks} ELSE {max(c.prune_max_new_blocks, 8)} END, CASE WHEN rolls THEN wire ELSE now END, CASE WHEN NOT rolls THEN 100 * same::DOUBLE / length(now) END, CASE WHEN NOT rolls AND made > 0 THEN n ELSE 0 END FROM ({step}))
+        SELECT conv_id, max(n - 1)::INTEGER AS n_requests, round(avg(hit), 6) AS mean_hit, round(min(hit), 6) AS min_hit, count(*) FILTER (WHERE hit >= 90)::INTEGER AS n_high, count(*) FILTER (WHERE rolled_at > 0)::INTEGER AS n_rolls, 0 AS n_compactions,
+            round(CASE WHEN max(rolled_at) > 0 THEN max(rolled_at)::DOUBLE / count(*) FILTER (WHERE rolled_at > 0) END, 6) AS mean_interval, max(len(blocks))::INTEGER AS max_blocks FROM f GROUP BY conv_id"""
