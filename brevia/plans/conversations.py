@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevia.config import EngineConfig
+from brevia.functions.markers import DISTILL_CLOSE, DISTILL_PREFIX, PRUNE_PREFIX
 from brevia.functions.text import content_hash, fingerprint, fingerprint36, u16_len
 from brevia.operators import accounting as A
 from brevia.operators import distill as D
@@ -44,7 +45,7 @@ def msg_scan(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", "role", u16_len(F.col("text")).alias("n_chars"))
 
 
-@query(f"SELECT conv_id, turn, role = 'assistant' AND {S.u16('text')} >= 1000 AND NOT starts_with(text, '⟦本地蒸馏') AND NOT starts_with(text, '⟦历史剪枝') AS eligible FROM conversations")
+@query(f"SELECT conv_id, turn, role = 'assistant' AND {S.u16('text')} >= 1000 AND NOT starts_with(text, '{DISTILL_PREFIX}') AND NOT starts_with(text, '{PRUNE_PREFIX}') AS eligible FROM conversations")
 def distill_gate(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", (F.col("role").isin(*SMALL.distill_roles) & D.passes_gate(F.col("text"), SMALL)).alias("eligible"))
 
@@ -55,7 +56,7 @@ def billed_tokens(spark, sf_dir):
 
 
 @query(f"""WITH s AS (SELECT conv_id, max(text) AS system FROM conversations WHERE role = 'system' GROUP BY conv_id),
-    m AS (SELECT conv_id, sum(CASE WHEN turn = 1 THEN {S.calibrated("'⟦历史剪枝·' || text", 1.25)} ELSE 0 END)::BIGINT AS history_tokens,
+    m AS (SELECT conv_id, sum(CASE WHEN turn = 1 THEN {S.calibrated(f"'{PRUNE_PREFIX}·' || text", 1.25)} ELSE 0 END)::BIGINT AS history_tokens,
         sum(CASE WHEN turn = 1 THEN 0 ELSE {S.calibrated("text", 1.25)} END)::BIGINT AS conversation_tokens FROM conversations WHERE role <> 'system' GROUP BY conv_id),
     t AS (SELECT m.conv_id, CASE WHEN s.system IS NULL THEN 0 ELSE {S.calibrated("s.system", 1.25)} END AS system_tokens,
         CASE WHEN m.conv_id % 2 = 0 THEN {S.calibrated("""'[{"name":"' || m.conv_id || '"}]'""", 1.25)} ELSE 0 END AS tools_tokens, history_tokens, conversation_tokens FROM m LEFT JOIN s USING (conv_id))
@@ -65,7 +66,7 @@ def token_breakdown(spark, sf_dir):
     rows = turns(spark, sf_dir)
     tools = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('[{"name":"'), F.col("conv_id").cast("string"), F.lit('"}]'))).otherwise("[]")
     system = rows.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "system", F.col("text"))).alias("system")).withColumn("tools_json", tools)
-    marked = rows.filter("role <> 'system'").withColumn("text", F.when(F.col("turn") == 1, F.concat(F.lit("⟦历史剪枝·"), F.col("text"))).otherwise(F.col("text")))
+    marked = rows.filter("role <> 'system'").withColumn("text", F.when(F.col("turn") == 1, F.concat(F.lit(f"{PRUNE_PREFIX}·"), F.col("text"))).otherwise(F.col("text")))
     return A.breakdown(from_conversations(marked), system, SMALL)
 
 
@@ -134,14 +135,14 @@ def flatten_text(spark, sf_dir):
     paid AS (SELECT DISTINCT text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM first) WHERE place <= 1),
     j AS (SELECT c.*, p.text IS NOT NULL AS is_paid, {S.calibrated("c.text", 1.25)} AS b, {S.calibrated("short", 1.25)} AS a FROM c LEFT JOIN paid p ON c.eligible AND c.text = p.text)
     SELECT conv_id, turn, CASE WHEN NOT eligible THEN 'passed' WHEN is_paid THEN 'distilled' ELSE 'over_budget' END AS status, is_paid AS changed,
-        md5(CASE WHEN is_paid THEN {S.distill_line(S.u16("text"), "b", "a")} || chr(10) || short || chr(10) || '⟦蒸馏结束⟧' ELSE text END) AS digest FROM j""")
+        md5(CASE WHEN is_paid THEN {S.distill_line(S.u16("text"), "b", "a")} || chr(10) || short || chr(10) || '{DISTILL_CLOSE}' ELSE text END) AS digest FROM j""")
 def distill_conversations(spark, sf_dir):
     done = D.distill_conversations(turns(spark, sf_dir), PrefixBackend(), SMALL)
     return done.select("conv_id", "turn", "status", "changed", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @query(f"""WITH c AS (SELECT *, role = 'assistant' AND {S.u16("text")} >= 1000 AS eligible, {S.trimmed(S.prefix("text", 0.4))} AS short, {S.calibrated("text", 1.25)} AS b FROM conversations)
-    SELECT conv_id, turn, eligible AS changed, md5(CASE WHEN eligible THEN {S.distill_line(S.u16("text"), "b", S.calibrated("short", 1.25))} || chr(10) || short || chr(10) || '⟦蒸馏结束⟧' ELSE text END) AS digest FROM c""")
+    SELECT conv_id, turn, eligible AS changed, md5(CASE WHEN eligible THEN {S.distill_line(S.u16("text"), "b", S.calibrated("short", 1.25))} || chr(10) || short || chr(10) || '{DISTILL_CLOSE}' ELSE text END) AS digest FROM c""")
 def distill_messages(spark, sf_dir):
     """The same on messages with nested blocks."""
     done = D.distill_messages(messages(spark, sf_dir), PrefixBackend(), SMALL)

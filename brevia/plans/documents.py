@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brevia.config import EngineConfig
 from brevia.functions.chunking import chunks_column, token_chunks_column, truncated_column
-from brevia.functions.markers import PRUNE_CLOSE, PRUNE_PREFIX, distill_block_column, distill_line_column, mark_line, strip_prune_lines_column
+from brevia.functions.markers import DISTILL_CLOSE, PRUNE_CLOSE, PRUNE_PREFIX, distill_block_column, distill_line_column, mark_line, strip_prune_lines_column
 from brevia.functions.text import content_hash, estimate_tokens, set_similarity, trigram_set, u16_len
 from brevia.operators import distill as D
 from brevia.operators import results as R
@@ -86,7 +86,7 @@ def _marks(spark, sf_dir) -> DataFrame:
 _MARKED = f"""(SELECT doc_id, lang, {S.u16("text")} AS chars, {S.estimate("text")} AS before, {S.estimate(S.prefix("text", 0.4))} AS after, {S.prefix("text", 0.4)} AS short FROM documents)"""
 
 
-@query(f"""SELECT doc_id, {S.distill_line("chars", "before", "after")} AS mark, md5({S.distill_line("chars", "before", "after")} || chr(10) || short || chr(10) || '⟦蒸馏结束⟧') AS block_digest FROM {_MARKED}""")
+@query(f"""SELECT doc_id, {S.distill_line("chars", "before", "after")} AS mark, md5({S.distill_line("chars", "before", "after")} || chr(10) || short || chr(10) || '{DISTILL_CLOSE}') AS block_digest FROM {_MARKED}""")
 def marker_encode(spark, sf_dir):
     return _marks(spark, sf_dir).select("doc_id", distill_line_column(F.col("chars"), F.col("before"), F.col("after")).alias("mark"), md5(F.col("block")).alias("block_digest"))
 
@@ -99,8 +99,8 @@ def marker_stats(spark, sf_dir):
     return mark_totals(lines, "lang").select("lang", "n_marks", "n_parsed", "chars", "before", "after", "percent")
 
 
-@query("""SELECT doc_id, md5(array_to_string(list_filter(string_split('⟦历史剪枝·x⟧' || chr(10) || text || chr(10) || '⟦剪枝结束⟧', chr(10)),
-    lambda l: NOT starts_with(l, '⟦历史剪枝') AND l <> '⟦剪枝结束⟧'), chr(10))) AS digest FROM documents""")
+@query(f"""SELECT doc_id, md5(array_to_string(list_filter(string_split('{PRUNE_PREFIX}·x⟧' || chr(10) || text || chr(10) || '{PRUNE_CLOSE}', chr(10)),
+    lambda l: NOT starts_with(l, '{PRUNE_PREFIX}') AND l <> '{PRUNE_CLOSE}'), chr(10))) AS digest FROM documents""")
 def strip_markers(spark, sf_dir):
     block = F.concat(F.lit(f"{PRUNE_PREFIX}·x⟧\n"), F.col("text"), F.lit(f"\n{PRUNE_CLOSE}"))
     return documents(spark, sf_dir).select("doc_id", md5(strip_prune_lines_column(block)).alias("digest"))
@@ -128,7 +128,7 @@ def distill_plan(spark, sf_dir):
         FROM documents d JOIN {W.distilled("SELECT doc_id AS id, text AS t FROM documents", CHUNK, W.extract_answer(0.4))} f ON f.id = d.doc_id)
     SELECT doc_id, CASE WHEN passed THEN 'passed' WHEN error IS NOT NULL THEN 'failed' WHEN pieces IS NULL THEN 'unchanged' ELSE 'distilled' END AS status, CASE WHEN NOT passed THEN before END AS before_tokens,
         CASE WHEN passed THEN NULL WHEN pieces IS NULL THEN before ELSE {S.estimate("short")} END AS after_tokens,
-        md5(CASE WHEN passed OR pieces IS NULL THEN text ELSE {S.distill_line(S.u16("text"), "before", S.estimate("short"))} || chr(10) || short || chr(10) || '⟦蒸馏结束⟧' END) AS digest FROM x""")
+        md5(CASE WHEN passed OR pieces IS NULL THEN text ELSE {S.distill_line(S.u16("text"), "before", S.estimate("short"))} || chr(10) || short || chr(10) || '{DISTILL_CLOSE}' END) AS digest FROM x""")
 def distill_documents(spark, sf_dir):
     """The default settings with a backend that keeps lines with facts."""
     done = D.distill(documents(spark, sf_dir), ExtractiveBackend(), EngineConfig(distill_chunk_chars=CHUNK))
@@ -141,7 +141,7 @@ _DISTILLED = f"""WITH d AS (SELECT *, {S.trimmed(S.prefix("text", 0.4))} AS shor
 
 
 @query(f"""{_DISTILLED} SELECT doc_id, status, CASE WHEN status <> 'passed' THEN before END AS before_tokens, CASE status WHEN 'distilled' THEN after WHEN 'failed' THEN before END AS after_tokens,
-    md5(CASE WHEN status = 'distilled' THEN {S.distill_line(S.u16("text"), "before", "after")} || chr(10) || short || chr(10) || '⟦蒸馏结束⟧' ELSE text END) AS digest FROM s""")
+    md5(CASE WHEN status = 'distilled' THEN {S.distill_line(S.u16("text"), "before", "after")} || chr(10) || short || chr(10) || '{DISTILL_CLOSE}' ELSE text END) AS digest FROM s""")
 def distill_single(spark, sf_dir):
     """Texts as one chunk each, with a backend that SQL can express."""
     done = D.distill(documents(spark, sf_dir), PrefixBackend(), WHOLE)
@@ -151,7 +151,7 @@ def distill_single(spark, sf_dir):
 @query(f"""{_DISTILLED}, known AS (SELECT DISTINCT text FROM documents WHERE source < 'src15')
     SELECT doc_id, CASE WHEN s.status = 'passed' THEN 'passed' WHEN k.text IS NOT NULL THEN 'cached' ELSE s.status END AS status,
         md5(CASE WHEN s.status = 'passed' THEN s.text WHEN k.text IS NOT NULL THEN 'known ' || md5(s.text) WHEN s.status = 'distilled'
-            THEN {S.distill_line(S.u16("s.text"), "before", "after")} || chr(10) || short || chr(10) || '⟦蒸馏结束⟧' ELSE s.text END) AS digest
+            THEN {S.distill_line(S.u16("s.text"), "before", "after")} || chr(10) || short || chr(10) || '{DISTILL_CLOSE}' ELSE s.text END) AS digest
     FROM s LEFT JOIN known k ON s.text = k.text""")
 def distill_dedup(spark, sf_dir):
     """With a cache that holds the texts of some sources."""
@@ -185,7 +185,7 @@ def chunk_dedup(spark, sf_dir):
 
 @query(f"""SELECT doc_id, {S.u16("text")} AS original_chars, {S.estimate("text")} AS before_tokens, {S.estimate("content")} AS after_tokens,
         {S.saved(S.estimate("text"), S.estimate("content"))} AS savings_percent, status = 'passed' AS skipped
-    FROM ({_DISTILLED} SELECT doc_id, text, status, CASE WHEN status = 'distilled' THEN {S.distill_line(S.u16("text"), "before", "after")} || chr(10) || short || chr(10) || '⟦蒸馏结束⟧' ELSE text END AS content FROM s)""")
+    FROM ({_DISTILLED} SELECT doc_id, text, status, CASE WHEN status = 'distilled' THEN {S.distill_line(S.u16("text"), "before", "after")} || chr(10) || short || chr(10) || '{DISTILL_CLOSE}' ELSE text END AS content FROM s)""")
 def distill_report(spark, sf_dir):
     done = U.distill_any(documents(spark, sf_dir), PrefixBackend(), WHOLE)
     return done.select("doc_id", "original_chars", "before_tokens", "after_tokens", "savings_percent", "skipped")
@@ -219,7 +219,7 @@ def result_reuse(spark, sf_dir):
     return found.select("doc_id", "text_hash", "first_at", (F.col("first_at") < F.col("doc_id")).alias("reused"))
 
 
-_RESULT = f"CASE WHEN status = 'distilled' AND admitted THEN {S.distill_line(S.u16('text'), 'before', 'after')} || chr(10) || short || chr(10) || '⟦蒸馏结束⟧' ELSE text END"
+_RESULT = f"CASE WHEN status = 'distilled' AND admitted THEN {S.distill_line(S.u16('text'), 'before', 'after')} || chr(10) || short || chr(10) || '{DISTILL_CLOSE}' ELSE text END"
 
 
 @query(f"""{_DISTILLED}, a AS (SELECT *, doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 5 <> 0 AND doc_id % 4 <> 2 AND doc_id % 6 <> 0

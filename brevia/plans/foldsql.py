@@ -6,6 +6,8 @@ Each function takes a query that gives (id, t, ...) and returns one; they nest.
 from __future__ import annotations
 
 from brevia.functions.chunking import TRUNCATED
+from brevia.functions.markers import DISTILL_CLOSE, PRUNE_CLOSE, PRUNE_OPEN
+from brevia.functions.text import OTHER_WEIGHT
 from brevia.plans import sqltext as S
 
 BREAK = "chr(10) || chr(10)"
@@ -18,7 +20,7 @@ def quoted(text: str) -> str:
 
 def token_chunks(source: str) -> str:
     """(id, chunks) of (id, t, budget)."""
-    most = "greatest(1, list_max(list_filter(range((budget / 0.28::DOUBLE)::BIGINT - 5, (budget / 0.28::DOUBLE)::BIGINT + 9), lambda k: floor(0.28::DOUBLE * k + 0.5::DOUBLE) <= budget)))"
+    most = f"greatest(1, list_max(list_filter(range((budget / {OTHER_WEIGHT}::DOUBLE)::BIGINT - 5, (budget / {OTHER_WEIGHT}::DOUBLE)::BIGINT + 9), lambda k: floor({OTHER_WEIGHT}::DOUBLE * k + 0.5::DOUBLE) <= budget)))"
     return f"""(WITH RECURSIVE src AS (SELECT id, t, budget::BIGINT AS budget, {most} AS most FROM ({source})),
         lines AS (SELECT *, {S.estimate("l")} AS cost FROM (SELECT id, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS k, unnest(string_split(t, chr(10))) AS l FROM src)),
         f AS (SELECT id, budget, most, 0::BIGINT AS k, NULL::VARCHAR AS held, 0::BIGINT AS spent, []::VARCHAR[] AS done FROM src
@@ -66,14 +68,13 @@ def distilled(source: str, most: int, answer: str) -> str:
                 CASE WHEN echoes >= 2 OR short = part OR coalesce(alike, FALSE) THEN last ELSE grams END,
                 CASE WHEN echoes >= 2 THEN list_append(pieces, part) WHEN coalesce(alike, FALSE) THEN pieces ELSE list_append(pieces, short) END,
                 shorter OR (echoes < 2 AND short <> part), CASE WHEN echoes < 2 THEN problem END
-            FROM (SELECT f.*, x.k AS next, part, short, problem, grams, CASE WHEN len(grams) + len(last) = 0 THEN TRUE ELSE len(list_intersect(grams, last))::DOUBLE / len(list_distinct(list_concat(grams, last))) >= 0.8::DOUBLE END AS alike
+            FROM (SELECT f.*, x.k AS next, part, short, problem, grams, CASE WHEN last IS NULL THEN FALSE WHEN len(grams) + len(last) = 0 THEN TRUE ELSE len(list_intersect(grams, last))::DOUBLE / len(list_distinct(list_concat(grams, last))) >= 0.8::DOUBLE END AS alike
                 FROM f JOIN checked x ON x.id = f.id AND x.k = f.k + 1 WHERE error IS NULL) f JOIN (SELECT DISTINCT id, k FROM checked) x ON x.id = f.id AND x.k = f.next)
         SELECT f.id, len(parts) AS n_parts, CASE WHEN shorter AND error IS NULL THEN pieces END AS pieces, error FROM f JOIN src USING (id) QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY k DESC) = 1)"""
 
 
 def block_line(omitted: str, kept: str, before: str, after: str) -> str:
-    percent = S.rounded(f"(1 - {after}::DOUBLE / {before}) * 100")
-    return f"'⟦历史剪枝·省略' || {omitted} || '条消息·保留最近' || {kept} || '条·原文≈' || {before} || '→' || {after} || ' tokens（' || CASE WHEN {percent} >= 0 THEN '-' ELSE '+' END || abs({percent}) || '%）⟧'"
+    return S.filled(PRUNE_OPEN, omitted, kept, before, after, S.signed(S.rounded(f"(1 - {after}::DOUBLE / {before}) * 100")))
 
 
 def usable(short: str, source: str) -> str:
@@ -92,7 +93,7 @@ def pruned(c) -> str:
         FROM r JOIN p USING (conv_id) WHERE pos < n - 1 AND made < cap AND chain + list_sum(tokens[pos + 1:n]) > target"""
     for column in (
         f"array_to_string(texts[pos + 1:stop], {BREAK}) AS source", f"{S.trimmed(S.prefix('source', 0.4))} AS short", f"{S.estimate('source')} AS before, {S.estimate('short')} AS after",
-        f"{block_line('(stop - pos)', '(n - stop)', 'before', 'after')} || chr(10) || short || chr(10) || '⟦剪枝结束⟧' AS block",
+        f"{block_line('(stop - pos)', '(n - stop)', 'before', 'after')} || chr(10) || short || chr(10) || '{PRUNE_CLOSE}' AS block",
         f"""'__prune__' || {base36("'[' || array_to_string(contents[pos + 1:stop], ',') || ']'")} AS key""",
     ):
         step = f"SELECT *, {column} FROM ({step})"
@@ -100,7 +101,7 @@ def pruned(c) -> str:
     first = f"list_min(list_filter(range(1, made + 1), lambda k: k = made OR sizes[k] <= {c.prune_max_source_chars}))"
     merge = f"SELECT conv_id, array_to_string(shorts[{first}:made], {BREAK}) AS source, pos, n FROM ({whole})"
     merge = f"SELECT *, {S.trimmed(S.prefix('source', 0.4))} AS short, {S.estimate('source')} AS before FROM ({merge})"
-    merge = f"SELECT conv_id, {block_line('pos', '(n - pos)', 'before', S.estimate('short'))} || chr(10) || short || chr(10) || '⟦剪枝结束⟧' AS merged FROM ({merge}) WHERE {usable('short', 'source')}"
+    merge = f"SELECT conv_id, {block_line('pos', '(n - pos)', 'before', S.estimate('short'))} || chr(10) || short || chr(10) || '{PRUNE_CLOSE}' AS merged FROM ({merge}) WHERE {usable('short', 'source')}"
     return f"""(WITH RECURSIVE c AS (SELECT conv_id, list(text ORDER BY turn) AS texts, list('[{{"type":"text","text":' || to_json(text) || '}}]' ORDER BY turn) AS contents, list({S.estimate("text")} ORDER BY turn) AS tokens, count(*) AS n FROM conversations GROUP BY conv_id),
         e AS (SELECT *, list_sum(tokens) / {c.threshold}::DOUBLE AS over FROM c WHERE n > {c.prune_keep_recent} AND list_sum(tokens) > {c.threshold}),
         p AS (SELECT *, CASE WHEN over > 2 THEN {max(3 * c.prune_batch_size, 48)} ELSE {c.prune_batch_size} END AS size, greatest({max(c.prune_max_new_blocks, 8)}, least(48, greatest(12, floor(over + 0.5::DOUBLE) * 3))) AS cap FROM e),
@@ -132,7 +133,7 @@ def notices(c, d) -> str:
         m AS (SELECT *, {S.u16("text")} AS chars, {S.calibrated("text", d.token_estimate_factor)} AS before, {S.calibrated("short", d.token_estimate_factor)} AS after FROM t),
         k AS (SELECT *, CASE WHEN wanted THEN {S.distill_line("chars", "before", "after")} END AS mark FROM m),
         sums AS (SELECT conv_id, any_value(pos) AS pos, any_value(chain_key) AS chain_key, any_value(all_tokens) AS all_tokens, coalesce(any_value(chain), 0)::BIGINT AS history,
-            sum(CASE WHEN wanted THEN {S.calibrated("mark || chr(10) || short || chr(10) || '⟦蒸馏结束⟧'", c.token_estimate_factor)} ELSE {S.calibrated("text", c.token_estimate_factor)} END)::BIGINT AS conversation,
+            sum(CASE WHEN wanted THEN {S.calibrated(f"mark || chr(10) || short || chr(10) || '{DISTILL_CLOSE}'", c.token_estimate_factor)} ELSE {S.calibrated("text", c.token_estimate_factor)} END)::BIGINT AS conversation,
             list_sort(list_distinct(list(substring(sha256(mark), 1, 16)) FILTER (WHERE wanted))) AS ids, count(*) FILTER (WHERE wanted) AS n, min(mark) AS one,
             sum(chars) FILTER (WHERE wanted) AS chars, sum(before) FILTER (WHERE wanted) AS before, sum(after) FILTER (WHERE wanted) AS after FROM k GROUP BY conv_id),
         s AS (SELECT *, history + conversation AS total, coalesce(all_tokens, history + conversation)::BIGINT AS whole, chain_key IS NOT NULL AS is_pruned, n > 0 AS is_fresh,
@@ -152,7 +153,7 @@ def stability(c) -> str:
     for column in (
         f"n > {c.prune_keep_recent} AND pos < n - 1 AND made < most AND chain + rest > target AS due, least(pos + CASE WHEN pos >= n - {c.prune_keep_recent} THEN least({min(c.prune_batch_size, c.prune_keep_recent)}, size) ELSE size END, n - 1) AS stop",
         f"array_to_string(texts[pos + 1:stop], {BREAK}) AS source", f"{S.trimmed(S.prefix('source', 0.4))} AS short", f"{S.estimate('source')} AS before, {S.estimate('short')} AS after, due AND {usable('short', 'source')} AS rolls",
-        f"{block_line('(stop - pos)', '(n - stop)', 'before', 'after')} || chr(10) || short || chr(10) || '⟦剪枝结束⟧' AS block", "array_to_string(list_concat(blocks, contents[pos + 1:n]), chr(1)) AS now",
+        f"{block_line('(stop - pos)', '(n - stop)', 'before', 'after')} || chr(10) || short || chr(10) || '{PRUNE_CLOSE}' AS block", "array_to_string(list_concat(blocks, contents[pos + 1:n]), chr(1)) AS now",
         "CASE WHEN NOT rolls AND wire IS NOT NULL THEN coalesce(list_position(list_transform(list_zip(string_split(wire, ''), string_split(now, '')), lambda z: z[1] IS DISTINCT FROM z[2]), TRUE) - 1, length(now)) END AS same",
     ):
         step = f"SELECT *, {column} FROM ({step})"

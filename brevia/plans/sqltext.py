@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-CJK = "[㐀-䶿一-鿿豈-﫿]"
+from brevia.functions.markers import DISTILL_OPEN
+from brevia.functions.text import CJK, FNV_PRIME, FNV_START, OTHER_WEIGHT
 
 
 def u16(t: str) -> str:
@@ -15,7 +16,7 @@ def rounded(x: str) -> str:
 
 def estimate(t: str) -> str:
     cjk = f"len(regexp_extract_all({t}, '{CJK}'))"
-    return f"greatest(1, {rounded(f'{cjk} + 0.28::DOUBLE * ({u16(t)} - {cjk})')})"
+    return f"greatest(1, {rounded(f'{cjk} + {OTHER_WEIGHT}::DOUBLE * ({u16(t)} - {cjk})')})"
 
 
 def calibrated(t: str, factor: float) -> str:
@@ -24,7 +25,7 @@ def calibrated(t: str, factor: float) -> str:
 
 def fnv1a(t: str) -> str:
     """Of texts without astral characters."""
-    return f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({t}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+    return f"list_reduce(list_prepend({FNV_START}::BIGINT, list_transform(string_split({t}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * {FNV_PRIME}) & 4294967295)"
 
 
 def saved(before: str, after: str) -> str:
@@ -39,9 +40,20 @@ def prefix(t: str, share: float) -> str:
     return f"left({t}, ceil(length({t}) * {share}::DOUBLE)::BIGINT)"
 
 
+def filled(template: str, *values: str) -> str:
+    """A text with {0}, {1}, ... as an expression of the values put in."""
+    out = f"'{template}'"
+    for k, value in enumerate(values):
+        out = out.replace(f"{{{k}}}", f"' || {value} || '")
+    return f"({out})"
+
+
+def signed(percent: str) -> str:
+    return f"CASE WHEN {percent} >= 0 THEN '-' ELSE '+' END || abs({percent})"
+
+
 def distill_line(chars: str, before: str, after: str) -> str:
-    percent = saved(before, after)
-    return f"('⟦本地蒸馏·原文' || {chars} || '字符·≈' || {before} || '→' || {after} || ' tokens（' || CASE WHEN {percent} >= 0 THEN '-' ELSE '+' END || abs({percent}) || '%）⟧')"
+    return filled(DISTILL_OPEN, chars, before, after, signed(saved(before, after)))
 
 
 def chunks(t: str, most: int) -> str:
