@@ -18,12 +18,13 @@ def test_query_equals_oracle(spark):
     want = con.sql(C.oracle()).limit(10**6).fetchall()
     found = C.op10_chat_format(spark, sf_dir).select(NAMES).collect()
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
-    assert {r.status for r in found} == {"message", "linked", "unanswered"} and len({r.error for r in found}) == 3
+    assert {r.status for r in found} == {"message", "linked", "unanswered", "cyclic", "duplicate", "orphan"} and len({r.error for r in found}) == 3
+    assert sum(r.kind == "call" and r.rank > r.turn for r in found) > 20
 
 
 @pytest.mark.parametrize(
     ("raw", "want"),
-    [('{"b": 1.0, "a": [true, null, "é\\n\\u0001"]}', '{"a":[true,null,"é\\n\\u0001"],"b":1}'), ("1e21", "1e+21"), ("0.0000001", "1e-7"), ("123456789012345678901234567890", "123456789012345678901234567890"), ("2.50", "2.5"), ("-0.0", "0")],
+    [('{"b": 1.0, "a": [true, null, "é\\n\\u0001"]}', '{"a":[true,null,"é\\n\\u0001"],"b":1}'), ("1e21", "1e+21"), ("0.0000001", "1e-7"), ("123456789012345678901234567890", "123456789012345678901234567890"), ("2.50", "2.5"), ("-0.0", "0"), ("123456789012345680000.0", "123456789012345680000"), ("0.00001", "0.00001"), ("1.5e300", "1.5e+300"), ('"\\ud800x"', '"\\ud800x"')],
 )
 def test_canonical_json(raw, want):
     assert C.canonical(json.loads(raw)) == want
@@ -35,6 +36,8 @@ def test_schemas():
     assert read('{"limit": 2}') == "query: missing" and read('{"query": 1, "limit": 2}') == "query: not of type string"
     assert read('{"query": "", "limit": true}') == "limit: not of type integer" and read('{"query": "", "limit": 1, "z": 1}') == "z: unknown"
     assert read("{") == read('{"a": NaN}') == "arguments: not JSON" and read("[1]") == read(None) == "arguments: not of type object"
+    assert read('{"query": "a", "query": "b", "limit": 2}') == "arguments: repeated key" and read('{"\\ud800": 1, "query": "", "limit": 1}') == "\\ud800: unknown"
+    assert C.read_arguments("search", '{"query": "\\ud800", "limit": 1}', C.SCHEMAS) == ('{"limit":1,"query":"\\ud800"}', None)
     assert read("{}", "what") == "unknown tool" and read("[" * 100_000) == "arguments: not JSON"
     deep = {"type": "object", "properties": {"a": {"type": "array", "items": {"enum": [1, 2]}}}}
     assert C.fault({"a": [1, 3]}, deep) == "a[1]: not in the enumeration"
@@ -75,3 +78,57 @@ def test_odd_tables(spark):
     assert {r.json for r in found if r.kind == "message"} == {'{"content":null,"role":"user"}', f'{{"content":"{"x" * 100_000}","role":null}}'}
     none = [x.filter(F.lit(False)) for x in (messages, calls, results)]
     assert C.link(*none, C.SCHEMAS).count() == 0
+
+
+def brute_ranks(calls, results):
+    """Rank by rank, all calls of a conversation at hand. calls: (conv, turn, id, refs)."""
+    answered, first = {}, {}
+    for conv, turn, who in sorted(results):
+        answered.setdefault((conv, who), turn)
+    for conv, turn, who, refs in sorted(calls):
+        first.setdefault((conv, who), (turn, refs))
+    rank, end = {}, {}
+    while True:
+        ready = [k for k, (_, refs) in first.items() if k not in rank and all((k[0], r) in end or (k[0], r) not in first for r in refs)]
+        if not ready:
+            return {k: rank.get(k, t) for k, (t, _) in first.items()}, first.keys() - rank.keys()
+        for k in ready:
+            rank[k] = max([first[k][0], *(end[k[0], r] + 1 for r in first[k][1] if (k[0], r) in end)])
+        for k in ready:
+            end[k] = max(answered[k], rank[k] + 1) if k in answered else rank[k]
+
+
+def test_ranks_equal_brute_force(spark):
+    """Long chains, forks, circles and several references; rounds grow with the logarithm of a chain."""
+    import random
+
+    draw, calls, results = random.Random(8), [], []
+    for conv in range(12):
+        n = draw.randint(1, 60)
+        for k in range(n):
+            wide = draw.choice([[], [k - 1], [k + 1], [draw.randint(0, n)], [draw.randint(0, n), draw.randint(0, k)]])
+            refs = [k - 1] if conv < 3 and k else [] if conv < 3 else wide
+            calls.append((conv, draw.randint(0, 30), f"c{k}", [f"c{r}" for r in refs if r != k or conv > 9]))
+            if draw.random() < 0.5:
+                results.append((conv, draw.randint(0, 40), f"c{k}"))
+    frames = (spark.createDataFrame([(c, t, k, "t", args(*r)) for c, t, k, r in calls], CALLS), spark.createDataFrame([(*r, "x") for r in results], RESULTS))
+    found = [r for r in C.link(spark.createDataFrame([], MESSAGES), *frames, {}).collect() if r.kind == "call"]
+    rank, cyclic = brute_ranks(calls, results)
+    assert {(r.conv_id, r.call_id): r.rank for r in found} == rank and {(r.conv_id, r.call_id) for r in found if r.status == "cyclic"} == cyclic and cyclic
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = C.cut
+    monkeypatch.setattr(C, "cut", lambda df: rounds.append(1) or cut(df))
+    calls = spark.createDataFrame([(1, 0, f"c{k}", "t", args(f"c{k - 1}") if k else "{}") for k in range(500)], CALLS)
+    found = {r.call_id: r.rank for r in C.link(spark.createDataFrame([], MESSAGES), calls, spark.createDataFrame([], RESULTS), {}).collect()}
+    assert found == {f"c{k}": k for k in range(500)} and len(rounds) < 16
+
+
+def test_ties_of_one_identifier(spark):
+    calls = spark.createDataFrame([(1, 1, "a", "t", '{"k": 1}'), (1, 1, "a", "t", '{"k": 2}'), (1, 1, "b", "t", "{}"), (1, 1, "b", "t", "{}")], CALLS)
+    results = spark.createDataFrame([(1, 2, "a", "x"), (1, 2, "a", "y")], RESULTS)
+    found = C.link(spark.createDataFrame([], MESSAGES), calls, results, {}).collect()
+    status = sorted((r.kind, r.call_id, r.status) for r in found)
+    assert status == [("call", "a", "duplicate"), ("call", "a", "linked"), ("call", "b", "unanswered"), ("call", "b", "unanswered"), ("result", "a", "duplicate"), ("result", "a", "linked")]
