@@ -66,3 +66,43 @@ def test_filter_and_odd_tables(spark):
     assert Q.score(docs.filter(F.lit(False)), model).count() == 0
     nothing = Q.fit(docs, labels.filter(F.lit(False)))
     assert {r.score for r in Q.score(docs, nothing).collect()} == {0.5}
+
+
+def test_fit_equals_plain_formulas():
+    """Clipped scores, class means, shrunk and ridged covariances and densities, element by element."""
+    draw = np.random.default_rng(4)
+    x = np.concatenate([draw.normal(0, 1, (80, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 1]]), draw.normal(1, 3, (40, 3))])
+    x[5, 0] = 1e6
+    y = np.repeat([1, 0], [80, 40])
+    n, d = x.shape
+    center = [sum(x[:, j]) / n for j in range(d)]
+    scale = [(sum((v - center[j]) ** 2 for v in x[:, j]) / n) ** 0.5 for j in range(d)]
+    z = np.array([[min(Q.CLIP, max(-Q.CLIP, (row[j] - center[j]) / scale[j])) for j in range(d)] for row in x])
+    means, spread, share = {}, {}, {}
+    for c in (0, 1):
+        rows = [row for row, label in zip(z, y, strict=True) if label == c]
+        share[c] = len(rows) / n
+        means[c] = [sum(r[j] for r in rows) / len(rows) for j in range(d)]
+        spread[c] = np.array([[sum((r[i] - means[c][i]) * (r[j] - means[c][j]) for r in rows) / len(rows) for j in range(d)] for i in range(d)])
+    log = {}
+    for c in (0, 1):
+        cov = (1 - Q.SHRINK) * spread[c] + Q.SHRINK * (share[0] * spread[0] + share[1] * spread[1])
+        cov = (1 - Q.RIDGE) * cov + Q.RIDGE * sum(cov[j][j] for j in range(d)) / d * np.eye(d) + 1e-6 * np.eye(d)
+        log[c] = [np.log(share[c]) - 0.5 * np.log(np.linalg.det(cov)) - 0.5 * (row - means[c]) @ np.linalg.solve(cov, row - means[c]) for row in z]
+    want = [1 / (1 + np.exp(a - b)) for a, b in zip(log[0], log[1], strict=True)]
+    assert np.allclose(Q.fit_rows(x, y).score(x), want, atol=1e-8)
+
+
+def test_features_equal_plain_formulas():
+    import pyarrow as pa
+    from brevia.llm.textkit import column_stats
+
+    text = "The cat and the dog sat. THE END!\nthe cat and the dog sat. 1 2 3\n\n#"
+    s = {k: int(v[0]) for k, v in column_stats(pa.array([text])).items()}
+    words, letters = text.split(), sum(c.isalpha() for c in text)
+    assert (s["n_words"], s["n_letters"], s["n_distinct"], s["n_lines"], s["n_digits"], s["n_upper"]) == (len(words), letters, len(set(words)), 3, 3, 7)
+    want = [
+        np.log(1 + len(words)), np.log(1 + sum(map(len, words)) / len(words)), np.log(1 + len(words) / 3), np.log(0.02 + 1 / len(words)), np.log(0.02 + 1 / len(words)), (s["n_repeat_words"] / len(words)) ** 0.5, 0.0,
+        (s["n_stop"] / len(words)) ** 0.5, (len(set(words)) / len(words)) ** 0.5, np.log(0.02 + 7 / letters), np.log(0.02 + 3 / len(text)), letters / len(text), 1 / 3,
+    ]
+    assert np.allclose(Q.features(column_stats(pa.array([text])))[0], want)

@@ -88,3 +88,51 @@ def test_chunks_cover_all_documents(n):
     data = np.zeros(offsets[-1], np.uint8)
     spans = [(a, b) for a, b, _, _ in T.chunks(data, offsets, 64)]
     assert spans[0][0] == 0 and spans[-1][1] == n and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def brute_stats(text):
+    text = text or ""
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return brute(text) | {
+        "n_letters": sum(c.isascii() and c.isalpha() or not c.isascii() for c in text), "n_upper": sum("A" <= c <= "Z" for c in text), "n_loud": text.count("!"),
+        "n_final_lines": sum(WORD.findall(x)[-1][-1] in ".!?:;\"')" for x in lines),
+    }
+
+
+def brute_verdicts(texts):
+    """Votes, accuracies and posteriors, document by document and rule by rule."""
+    rows = []
+    for text in texts:
+        s, row = brute_stats(text), {}
+        for name, vote, top, bottom, low, high in Q.RULES:
+            if s[bottom] and low <= s[top] / s[bottom] < high:
+                row[name] = vote
+        rows.append(row)
+    accuracy = {rule[0]: 0.85 for rule in Q.RULES}
+
+    def posterior(row):
+        odds = 1.0
+        for name, vote in row.items():
+            odds *= (accuracy[name] / (1 - accuracy[name])) ** vote
+        return odds / (1 + odds)
+
+    for _ in range(200):
+        good = [posterior(row) for row in rows]
+        new = {}
+        for name in accuracy:
+            fired = [(row[name], p) for row, p in zip(rows, good, strict=True) if name in row]
+            new[name] = max(0.5, (sum(p if vote > 0 else 1 - p for vote, p in fired) + 0.85) / (len(fired) + 1))
+        moved = max(abs(new[name] - accuracy[name]) for name in new)
+        accuracy = new
+        if moved < 1e-9:
+            break
+    return [posterior(row) for row in rows]
+
+
+def test_verdicts_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    want = brute_verdicts([r.text for r in docs])
+    found = {r.doc_id: r for r in Q.op3_quality_rules(spark, sf_dir).collect()}
+    assert all(abs(found[r.doc_id].quality - p) < 1e-6 for r, p in zip(docs, want, strict=True))
+    assert all(found[r.doc_id].kept == (not found[r.doc_id].base_failed and p >= 0.5) for r, p in zip(docs, want, strict=True))
+    assert 0.1 < np.mean([p >= 0.5 for p in want]) < 1
