@@ -9,12 +9,13 @@ A capture is judged by the entries active on the day it was fetched: every domai
 every path prefix of its URL is looked up as of that day. The longest active key decides, allow before
 block, then the category's name; without one the verdict is none.
 
-The keys of a capture go only as deep as the list's deepest keys. Equal captures are counted first and
-given back after; the lookups of one capture stay in its partition, so a hot host costs no shuffle.
-The intervals are broadcast up to MAX_BROADCAST rows, and beyond that joined over salted keys.
+Captures ask only for keys as deep as the list has some. Equal captures are counted first and given back
+after; the lookups of one capture stay in its partition, so a hot host costs no shuffle. The intervals are
+broadcast up to MAX_BROADCAST rows, and beyond that joined over keys that are salted by how often they are asked
+for: none brings more than about KEY_ROWS rows to a task.
 
 Null or unparsable URLs and null days match nothing. Hosts are compared in lower case. An empty list or
-table is fine. Extra columns are left out.
+table is fine. Extra columns are left out. Paths of URLs and of keys keep their case.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from brevia.llm.shared import cut, tables
 
 MAX_BROADCAST = 200_000
-SALTS = 16
+MAX_DEPTHS = 64
+KEY_ROWS = 100_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 FOREVER = "9999-12-31"
@@ -55,7 +57,8 @@ EVENT_SCHEMA = "key string, day string, action string, verdict string, category
 
 def intervals(events: DataFrame) -> DataFrame:
     """(key, verdict, category, since, until): days on which an entry is active, until excluded."""
-    dated = events.select(F.lower("key").alias("key"), F.col("day").cast("date").alias("since"), "action", "verdict", "category").filter("key is not null and since is not null")
+    host = F.substring_index("key", "/", 1)
+    dated = events.select(F.concat(F.lower(host), F.substring("key", F.length(host) + 1, F.length("key"))).alias("key"), F.col("day").cast("date").alias("since"), "action", "verdict", "category").filter("key is not null and since is not null")
     last = dated.groupBy("key", "category", "since").agg(F.max("action").alias("action"), F.min("verdict").alias("verdict"))  # remove comes after add
     following = F.lead("since").over(Window.partitionBy("key", "category").orderBy("since"))
     spans = last.withColumn("until", F.coalesce(following, F.lit(FOREVER).cast("date")))
@@ -66,31 +69,36 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def keys_of(url: Column, labels: int, segments: int) -> Column:
-    """All keys that may concern a URL: domains of at most so many labels, prefixes of at most so many segments."""
+def keys_of(url: Column, labels: list[int], segments: list[int]) -> Column:
+    """All keys that may concern a URL: domains of so many labels, prefixes of so many segments."""
     host = host_of(url)
     parts = F.split(host, r"\.")
-    names = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max(labels, 1)))), lambda k: F.array_join(F.slice(parts, -k, k), "."))
     path = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != "")
-    depth = F.least(F.size(path), F.lit(segments))
-    prefixes = F.when(depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(path, 1, k), "/")))).otherwise(F.array().cast("array<string>"))
+    counts = lambda some, most: F.filter(F.array(*map(F.lit, some)).cast("array<int>"), lambda k: k <= most)
+    names = F.transform(counts(labels, F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "."))
+    prefixes = F.transform(counts(segments, F.size(path)), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(path, 1, k), "/")))
     return F.when(host != "", F.concat(names, prefixes)).otherwise(F.array().cast("array<string>"))
 
 
+def _depths(active: DataFrame) -> tuple[list[int], list[int]]:
+    """The numbers of labels of the list's domains, and of segments of its prefixes. A host has 127 labels at most; more
+    than MAX_DEPTHS different numbers of segments are taken as all up to the largest."""
+    prefix = F.col("key").contains("/")
+    found = active.groupBy(prefix.alias("prefix"), F.when(prefix, F.size(F.split("key", "/")) - 1).otherwise(F.size(F.split("key", r"\."))).alias("n")).count()
+    many = found.groupBy("prefix").agg(F.collect_set("n").alias("n"), F.max("n").alias("most"))
+    rows = {r.prefix: sorted(r.n) if len(r.n) <= MAX_DEPTHS else list(range(1, r.most + 1)) for r in many.collect()}
+    return rows.get(False, []), rows.get(True, [])
+
+
 def judge(captures: DataFrame, events: DataFrame, key: str = "page_id", url: str = "url", fetched: str = "fetched") -> DataFrame:
     """(key, url, fetched, host, verdict, category, matched, n_active) of every capture."""
     active = cut(intervals(events))
-    n, labels, segments = active.agg(F.count(F.lit(1)), F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))), F.max(F.size(F.split("key", "/")) - 1)).first()
+    n = active.count()
     who = ["id", "u", "day"]
     equal = captures.select(F.col(key).alias("id"), F.col(url).alias("u"), F.col(fetched).cast("date").alias("day")).groupBy(*who).agg(F.count(F.lit(1)).alias("copies"))
-    asked = equal.withColumn("key", F.explode_outer(keys_of(F.col("u"), labels or 1, segments or 0)))
-    if n <= MAX_BROADCAST:
-        found = asked.join(F.broadcast(active), (asked.key == active.key) & (F.col("day") >= F.col("since")) & (F.col("day") < F.col("until")), "left")
-    else:
-        salted = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        asked = asked.withColumn("asked_salt", F.pmod(F.xxhash64(*who), F.lit(SALTS)).cast("int"))
-        found = asked.join(salted, (asked.key == salted.key) & (F.col("asked_salt") == F.col("salt")) & (F.col("day") >= F.col("since")) & (F.col("day") < F.col("until")), "left")
-    entry = F.when(F.col("since").isNotNull(), F.struct((-F.length(asked.key)).alias("n"), F.col("verdict"), F.col("category"), asked.key.alias("matched")))
+    asked = equal.withColumn("key", F.explode_outer(keys_of(F.col("u"), *_depths(active))))
+    found = _as_of(asked, F.broadcast(active)) if n <= MAX_BROADCAST else _large_list(asked, active)
+    entry = F.when(F.col("since").isNotNull(), F.struct((-F.length("key")).alias("n"), F.col("verdict"), F.col("category"), F.col("key").alias("matched")))
     judged = found.groupBy(*who, "copies").agg(F.min(entry).alias("best"), F.count("since").alias("n_active"))
     rows = judged.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return rows.select(
@@ -99,6 +107,28 @@ def judge(captures: DataFrame, events: DataFrame, key: str = "page_id", url: str
     )
 
 
+def _as_of(asked: DataFrame, active: DataFrame) -> DataFrame:
+    """asked with the entries active on each capture's day."""
+    entries = active.withColumnRenamed("key", "__key")
+    return asked.join(entries, (F.col("key") == F.col("__key")) & (F.col("day") >= F.col("since")) & (F.col("day") < F.col("until")), "left").drop("__key")
+
+
+def _large_list(asked: DataFrame, active: DataFrame) -> DataFrame:
+    """_as_of() without a broadcast of the list. Only keys that the list has are shuffled; those that many captures ask for
+    are dealt over as many salts as they take, counted beforehand, and their entries repeated for each."""
+    asked = cut(asked)
+    listed = active.select("key").distinct()
+    counts = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(listed, "key", "left_semi")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / KEY_ROWS)).cast("int")
+    hot = cut(counts.filter(F.col("n") > KEY_ROWS).select("key", salts.alias("salts")))
+    small = hot.count() <= MAX_BROADCAST  # there is at most one such key for KEY_ROWS rows
+    marked = lambda df: df.join(F.broadcast(hot) if small else hot, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    salted = marked(asked).withColumn("salt", F.pmod(F.xxhash64("id", "u", "day"), F.col("salts")).cast("int")).drop("salts")
+    entries = marked(active).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumnsRenamed({"key": "__key", "salt": "__salt"})
+    on = (F.col("key") == F.col("__key")) & (F.col("salt") == F.col("__salt")) & (F.col("day") >= F.col("since")) & (F.col("day") < F.col("until"))
+    return salted.join(entries, on, "left").drop("__key", "__salt", "salt")
+
+
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
     """pages hold no fetch day: it is taken as a day of 2024 that depends on page_id."""
     pages = tables(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id * 37, 366) as int))").alias("fetched"))

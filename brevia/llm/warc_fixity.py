@@ -16,7 +16,8 @@ leaves are matched by file and record id and called
   corrupt  the contents differ        moved  equal contents at another offset
   missing  only in the first replica  extra  only in the second
 
-Records of one file and id are matched in order of offset. Null and empty fields count as empty.
+A damaged range of a stored file counts as a record of its own, and the records after it are read on. Records of
+one file and id are matched in order of offset. Null and empty fields count as empty.
 Empty replicas have no root; against one, every record is missing or extra. Extra columns are left out.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,6 +38,7 @@ FANOUT = 16
 TRIE = (0, 2, 4)
 MAX_BROADCAST = 100_000
 FILE_RECORDS = 1000
+PIECE = 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -61,33 +64,99 @@ def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     return hashed.select("file", "record_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "sha256")
 
 
+GZIP = b"\x1f\x8b\x08"
+
+
+def _record(content: bytes, at: int) -> tuple[int, int, int] | None:
+    """(end of the header, end of the payload, end) of the record at a place, or None: it must be followed by blank
+    lines, which the last one may lack."""
+    if not content.startswith(b"WARC/", at):
+        return None
+    head = content.find(b"\r\n\r\n", at)
+    size = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", content[at:head]) if head >= 0 else None
+    if size is None:
+        return None
+    stop = head + 4 + int(size[1])
+    if stop == len(content):
+        return head, stop, stop
+    return (head, stop, stop + 4) if content.startswith(b"\r\n\r\n", stop) else None
+
+
+def _resume(content: bytes, at: int) -> int:
+    """Where the next record after a damaged one begins, or the end."""
+    while (at := content.find(b"WARC/", at + 1)) >= 0:
+        if _record(content, at):
+            return at
+    return len(content)
+
+
+def _member(content: bytes, at: int) -> tuple[bytes, int] | None:
+    """The content and end of the gzip member at a place, or None."""
+    reader, parts, k = zlib.decompressobj(31), [], at
+    try:
+        while not reader.eof:
+            if k >= len(content):
+                return None
+            parts.append(reader.decompress(content[k : k + PIECE]))
+            k += PIECE
+    except zlib.error:
+        return None
+    return b"".join(parts), min(k, len(content)) - len(reader.unused_data)
+
+
+def _members(content: bytes):
+    """(offset, length, content or None) of a file's gzip members; None where there is a damaged range."""
+    at = 0
+    while at < len(content):
+        if (found := _member(content, at)) is not None:
+            yield at, found[1] - at, found[0]
+            at = found[1]
+            continue
+        end = at
+        while (end := content.find(GZIP, end + 1)) >= 0 and _member(content, end) is None:
+            pass
+        end = len(content) if end < 0 else end
+        yield at, end - at, None
+        at = end
+
+
 def parse_warc(content: bytes):
-    """Yields (offset, length, header, payload) of an uncompressed WARC file; stops at what is no record."""
+    """Yields (offset, length, header, payload) of the records of a WARC file, in order. A range that holds no readable
+    record comes as one with an empty header, and the records after it follow. Of a gzipped file, offset and
+    length are those of the member in the file; a member of several records gives them all the same."""
+    if content.startswith(GZIP):
+        for at, size, whole in _members(content):
+            if whole is None:
+                yield at, size, b"", content[at : at + size]
+            else:
+                for _, _, head, payload in parse_warc(whole):
+                    yield at, size, head, payload
+        return
     at = 0
     while at < len(content):
-        end = content.find(b"\r\n\r\n", at)
-        size = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", content[at:end]) if end >= 0 and content.startswith(b"WARC/", at) else None
-        if size is None:
-            return
-        stop = end + 4 + int(size[1])
-        if stop > len(content):
-            return
-        tail = 4 if content.startswith(b"\r\n\r\n", stop) else 0
-        yield at, stop + tail - at, content[at:end], content[end + 4 : stop]
-        at = stop + tail
+        if found := _record(content, at):
+            head, stop, end = found
+            yield at, end - at, content[at:head], content[head + 4 : stop]
+        else:
+            end = _resume(content, at)
+            yield at, end - at, b"", content[at:end]
+        at = end
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record_id, offset, length, sha256, url, payload) of all records of the WARC files under path.
-    The record id is the number that ends the record's URN, or -1."""
+    """(file, record_id, offset, length, sha256, url, payload) of all records of the WARC files under path, gzipped or
+    not. The record id is the number that ends the record's URN, or -1, as for damaged ranges. sha256 is of the
+    record as stored, in gzipped files of header and payload. A file is read whole by one task (2 GB at most)."""
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                zipped = content.startswith(GZIP)
                 for at, size, head, payload in parse_warc(content):
                     number = re.search(rb"(?im)^warc-record-id:.*?(\d+)>?\s*$", head)
                     url = re.search(rb"(?im)^warc-target-uri:\s*(\S*)", head)
-                    row = [name.rsplit("/", 1)[-1], int(number[1]) if number else -1, at, size, hashlib.sha256(content[at : at + size]).hexdigest(), url[1].decode(errors="replace") if url else "", payload]
+                    stored = head + b"\r\n\r\n" + payload if zipped and head else content[at : at + size]
+                    row = [name.rsplit("/", 1)[-1], int(number[1]) if number else -1, at, size, hashlib.sha256(stored).hexdigest(), url[1].decode(errors="replace") if url else "", payload]
                     yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["file", "record_id", "offset", "length", "sha256", "url", "payload"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -37,9 +37,10 @@ def brute(url, day, events):
     return (*(min(active)[1:] if active else ("none", None, None)), len(active))
 
 
-@pytest.mark.parametrize("bound", [V.MAX_BROADCAST, 0])
-def test_as_of_join_equals_replay(spark, monkeypatch, bound):
+@pytest.mark.parametrize(("bound", "rows"), [(V.MAX_BROADCAST, V.KEY_ROWS), (0, V.KEY_ROWS), (3, 20)])
+def test_as_of_join_equals_replay(spark, monkeypatch, bound, rows):
     monkeypatch.setattr(V, "MAX_BROADCAST", bound)
+    monkeypatch.setattr(V, "KEY_ROWS", rows)
     draw = random.Random(bound)
     keys = ["a.com", "b.a.com", "a.com/x", "b.a.com/x/y", "c.org", "org"]
     start = date(2024, 1, 1)
@@ -61,3 +62,11 @@ def test_odd_tables(spark):
     assert sorted((str(r.page_id), r.verdict) for r in found) == [("1", "none"), ("2", "none"), ("3", "block"), ("3", "block"), ("None", "none")]
     assert {r.verdict for r in V.judge(captures, events.filter(F.lit(False))).collect()} == {"none"}
     assert V.judge(captures.filter(F.lit(False)), events).count() == 0
+
+
+def test_paths_keep_their_case(spark):
+    events = spark.createDataFrame([("WWW.a.com/Ads", "2024-01-01", "add", "block", "x"), ("b.org/p/q/r/s", "2024-01-01", "add", "block", "deep")], V.EVENT_SCHEMA)
+    urls = ["http://www.A.com/Ads/1", "http://www.a.com/ads/1", "http://b.org/p/q/r/s/t", "http://b.org/p/q/r"]
+    captures = spark.createDataFrame([(k, u, date(2024, 7, 1)) for k, u in enumerate(urls)], "page_id long, url string, fetched date")
+    found = {r.page_id: r.matched for r in V.judge(captures, events).collect()}
+    assert found == {0: "www.a.com/Ads", 1: None, 2: "b.org/p/q/r/s", 3: None}

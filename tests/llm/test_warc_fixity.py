@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import duckdb
@@ -42,10 +43,40 @@ def test_files_and_records_agree(spark, sf_dir, tmp_path):
     assert W.root(W.read_warc(spark, str(tmp_path))) != W.root(records) and differing and {r.file for r in differing} == {"part-1.warc"}
 
 
-def test_parser_stops_at_what_is_no_record():
-    assert list(W.parse_warc(b"")) == [] and list(W.parse_warc(b"junk")) == []
-    good = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
-    assert [x[:2] for x in W.parse_warc(good + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nhi")] == [(0, len(good))]
+def warc(k, payload):
+    return f"WARC/1.1\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n"
+
+
+def test_the_parser_reads_on_after_damage():
+    assert list(W.parse_warc(b"")) == [] and [x[:3] for x in W.parse_warc(b"junk")] == [(0, 4, b"")]
+    records = [warc(k, b"page WARC/1.1 %d" % k * (k + 1)) for k in range(6)]
+    whole, at = b"".join(records), [sum(map(len, records[:k])) for k in range(7)]
+    assert [x[0] for x in W.parse_warc(whole)] == at[:-1] and [x[0] for x in W.parse_warc(whole[:-4])] == at[:-1]
+    for k in range(6):
+        for damage in (b"XARC", b"WARC/1.1\r\nWARC-Record-ID: <urn:page:9>\r\nContent-Length: 8"):  # no record; another length
+            broken = whole[: at[k]] + damage + whole[at[k] + len(damage) :]
+            found = list(W.parse_warc(broken))
+            assert [x[:2] for x in found] == [(at[j], len(records[j])) for j in range(6)] and [bool(x[2]) for x in found] == [j != k for j in range(6)]
+    cut_off = list(W.parse_warc(whole[: at[5] + 10]))
+    assert [bool(x[2]) for x in cut_off] == [True] * 5 + [False]
+
+
+def test_gzipped_files(spark, tmp_path):
+    records = [warc(k, b"some text that repeats " * (200 * k + 1)) for k in range(5)]
+    members = [gzip.compress(r) for r in records]
+    at = [sum(map(len, members[:k])) for k in range(5)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "b").mkdir()
+    broken = bytearray(b"".join(members))
+    broken[at[2] + 15] ^= 255
+    (tmp_path / "b" / "a.warc.gz").write_bytes(bytes(broken))
+    first, second = W.read_warc(spark, str(tmp_path / "a.warc.gz")), W.read_warc(spark, str(tmp_path / "b"))
+    assert [(r.record_id, r.offset, r.length) for r in first.orderBy("offset").collect()] == [(k, at[k], len(members[k])) for k in range(5)]
+    assert [r.payload for r in first.orderBy("offset").collect()] == [x.split(b"\r\n\r\n")[1] for x in records]
+    assert sorted((r.record_id, r.status) for r in W.audit(first, second).collect()) == [(-1, "extra"), (2, "missing")]
+    both = gzip.compress(records[0] + records[1])
+    assert [x[:2] for x in W.parse_warc(both + members[2])] == [(0, len(both)), (0, len(both)), (len(both), len(members[2]))]
+    assert [bool(x[2]) for x in W.parse_warc(both[:-20] + members[2])] in ([False, True], [False])
 
 
 SCHEMA = "file string, record_id long, offset long, length long, sha256 string"
