@@ -9,15 +9,15 @@ remaining ones isn't below theirs, are full. Shares are whole tokens; those that
 leaves go one each to the first children that aren't full.
 
 A leaf's budget is some whole epochs of its documents and a prefix of one more. Each epoch has an
-order of its own, by md5 of seed, epoch and key; the prefix ends inside the document whose tokens cross
+order of its own, by md5 of seed, epoch and key, then a hash of the text; the prefix ends inside the document whose tokens cross
 the budget, of which the first tokens are taken. A token is a word, [^\\x20\\x09-\\x0D]+.
 
 Everything is DataFrame operations. The end of a prefix is found by sums over 4096 ranges of the hash,
 then inside one range of each leaf, so a source with a third of all rows is in no one task. What is
 applied to the documents is one row for each leaf; it is broadcast if there are at most MAX_LEAVES.
 
-Null language, source or text count as empty, a null key as a key of its own. Rows that share key and
-leaf are cut alike: each takes an equal part of what the prefix leaves them. Leaves of weight 0 and
+Null language, source or text count as empty, a null key as a key of its own. Equal rows at which a prefix
+ends are cut alike: each takes an equal part of what it leaves them, up to one token a row less than the budget. Leaves of weight 0 and
 empty tables give no rows. Columns of the documents are kept by mix_documents(), others replaced.
 """
 
@@ -71,9 +71,13 @@ def _leaf_columns(mix: Mix) -> dict[str, Column]:
 
 
 def measure(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, domain, lang, source, n_tokens) of every row."""
+    """(key, domain, lang, source, n_tokens, said: a hash of the text) of every row."""
     words = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(key).alias("key"), *(c.alias(n) for n, c in _leaf_columns(mix).items()), words.alias("n_tokens"))
+    return docs.select(F.col(key).alias("key"), *(c.alias(n) for n, c in _leaf_columns(mix).items()), words.alias("n_tokens"), _said(text))
+
+
+def _said(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string")).alias("said")
 
 
 def _hand_down(children: DataFrame, parents: list[str], name: str) -> DataFrame:
@@ -116,7 +120,8 @@ def budgets(supply: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _order(mix: Mix, epoch: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.col("key").cast("string")).cast("binary"))
+    by_key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.col("key").cast("string")).cast("binary"))
+    return F.concat(by_key, F.lpad(F.hex("said"), 16, "0"))
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -146,7 +151,7 @@ def _draw(measured: DataFrame, planned: DataFrame, n: int, mix: Mix) -> DataFram
     last = F.when(F.col("at") < F.col("cut_key"), F.col("n_tokens")).when(F.col("at") == F.col("cut_key"), F.least("n_tokens", F.expr("cut_tokens div cut_rows")))
     whole = F.transform(F.array_repeat(F.col("n_tokens"), F.col("epochs").cast("int")), lambda t, k: F.struct(k.alias("epoch"), t.alias("take_tokens")))
     part = F.array(F.struct(F.col("epochs").cast("int").alias("epoch"), last.alias("take_tokens")))
-    return joined.withColumn("taken", F.explode(F.filter(F.concat(whole, part), lambda x: x["take_tokens"].isNotNull()))).select("*", "taken.epoch", "taken.take_tokens").drop("taken", "at", "epochs", "cut_key", "cut_tokens", "cut_rows")
+    return joined.withColumn("taken", F.explode(F.filter(F.concat(whole, part), lambda x: x["take_tokens"].isNotNull()))).select("*", "taken.epoch", "taken.take_tokens").drop("taken", "at", "said", "epochs", "cut_key", "cut_tokens", "cut_rows")
 
 
 def select(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,7 +168,7 @@ def mix_documents(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "t
     measured = measure(there.drop(held), mix, key, text)
     planned, n = plan(cut(measured), mix)
     words = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = there.select(held, F.col(key).alias("key"), *(c.alias(m) for m, c in _leaf_columns(mix).items()), words.alias("n_tokens"))
+    rows = there.select(held, F.col(key).alias("key"), *(c.alias(m) for m, c in _leaf_columns(mix).items()), words.alias("n_tokens"), _said(text))
     drawn = _draw(rows, planned, n, mix)
     whole = F.col(f"{held}.`{text}`")
     some = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("take_tokens").cast("int")), "")

@@ -103,3 +103,12 @@ def test_odd_tables(spark, monkeypatch):
         assert M.mix_documents(docs, M.Mix(share=1.0)).count() == len(found)
     empty = docs.filter(F.lit(False))
     assert M.select(empty, M.Mix()).count() == 0 and M.mix_documents(empty, M.Mix()).count() == 0
+
+
+def test_rows_that_share_a_key_fill_the_budget(spark):
+    rows = [(None, " ".join(["w"] * (k % 7 + 1) + [f"x{k}"]), "en", "src1") for k in range(200)] + [(5, f"a b c d {k}", "en", "src1") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = M.select(docs, M.Mix(share=0.37)).collect()
+    total = sum(len(r[1].split()) for r in rows)
+    assert sum(r.take_tokens for r in found) == int(total * 0.37) and sum(r.take_tokens < r.n_tokens for r in found) <= 1
+    assert sum(len(r.text.split()) for r in M.mix_documents(docs, M.Mix(share=0.37)).collect()) == int(total * 0.37)
