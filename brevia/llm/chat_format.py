@@ -200,9 +200,10 @@ def _ends(linked: DataFrame, wanted: DataFrame) -> DataFrame:
     # a call that waits for x ends at max(a, x + b)
     a, b = F.when(replied, F.greatest("answered", F.col("turn") + 1)).otherwise(F.col("turn")), F.when(replied, 2).otherwise(1).cast("long")
     rows = linked.filter("first is not null").join(counted, WHO, "left")
-    state = cut(rows.select(*WHO, F.when(F.col("n").isNull(), a).alias("end"), F.when(F.col("n") == 1, F.col("ref")).alias("ref"), (F.col("n") > 1).alias("many"), a.alias("a"), b.alias("b")))
-    waiting, idle = state.filter("end is null").count(), 0
-    while waiting and idle <= waiting.bit_length() + 1:
+    state = cut(rows.select(*WHO, F.when(F.col("n").isNull(), a).alias("end"), F.when(F.col("n") == 1, F.col("ref")).alias("ref"), (F.col("n") > 1).alias("many"), a.alias("a"), b.alias("b")), True)
+    waiting, deep, many = _waiting(state)
+    idle = 0
+    while waiting and idle <= deep.bit_length():  # by then chains that lead to no end are as short as can be
         there = state.select("conv_id", F.col("call_id").alias("ref"), F.col("end").alias("x"), F.col("ref").alias("next"), F.col("a").alias("a2"), F.col("b").alias("b2"))
         hops = state.join(there, ["conv_id", "ref"], "left")
         jump = F.col("end").isNull() & F.col("x").isNull() & F.col("next").isNotNull()
@@ -210,19 +211,27 @@ def _ends(linked: DataFrame, wanted: DataFrame) -> DataFrame:
             *WHO, F.coalesce("end", F.when(F.col("x").isNotNull(), F.greatest("a", F.col("x") + F.col("b")))).alias("end"), F.when(jump, F.col("next")).otherwise(F.col("ref")).alias("ref"), "many",
             F.when(jump, F.greatest("a", F.col("a2") + F.col("b"))).otherwise(F.col("a")).alias("a"), F.when(jump, F.col("b") + F.col("b2")).otherwise(F.col("b")).alias("b"),
         )
-        open_many = state.filter("many and end is null").select(*WHO)
-        ready = wanted.join(open_many, WHO, "left_semi").join(there, ["conv_id", "ref"]).groupBy(*WHO).agg(F.max("x").alias("last"), F.count_if(F.col("x").isNull()).alias("open")).filter("open = 0")
-        done = F.when(F.col("last").isNotNull(), F.greatest("a", F.col("last") + F.col("b")))
-        state = cut(moved.join(ready.select(*WHO, "last"), WHO, "left").select(*WHO, F.coalesce("end", done).alias("end"), "ref", "many", "a", "b"))
-        before, waiting = waiting, state.filter("end is null").count()
-        idle = 0 if waiting < before else idle + 1  # chains that lead to no end are as short as can be by then
+        if many:
+            last = wanted.join(there.select("conv_id", "ref", "x"), ["conv_id", "ref"]).groupBy(*WHO).agg(F.max("x").alias("last"), F.count_if(F.col("x").isNull()).alias("open")).filter("open = 0")
+            done = F.when(F.col("many"), F.greatest("a", F.col("last") + F.col("b")))
+            moved = moved.join(last, WHO, "left").select(*WHO, F.coalesce("end", F.when(F.col("last").isNotNull(), done)).alias("end"), "ref", "many", "a", "b")
+        state = cut(moved, True)
+        before = waiting
+        waiting, deep, many = _waiting(state)
+        idle = 0 if waiting < before else idle + 1
     return state.select(*WHO, "end")
 
 
+def _waiting(state: DataFrame) -> tuple[int, int, int]:
+    """How many calls have no end, how many at most in a conversation, and how many of all have several references."""
+    by = state.filter("end is null").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("many").alias("many"))
+    return tuple(by.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.max("n"), F.sum("many")))).first())
+
+
 def _ranks(linked: DataFrame) -> DataFrame:
     """linked with rank, result_rank and cyclic."""
     called = linked.filter("first is not null")
-    wanted = cut(called.select(*WHO, F.explode("refs").alias("ref")).join(called.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_semi"))
+    wanted = cut(called.select(*WHO, F.explode("refs").alias("ref")).join(called.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_semi"), True)
     ends = _ends(linked, wanted)
     above = wanted.join(ends.withColumnsRenamed({"call_id": "ref", "end": "x"}), ["conv_id", "ref"]).groupBy(*WHO).agg(F.max("x").alias("above"))
     cyclic = F.col("first").isNotNull() & F.col("end").isNull()

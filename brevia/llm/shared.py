@@ -41,11 +41,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     """df, computed once and kept in the shared folder, until df is garbage if the session has
-    spark.cleaner.referenceTracking.cleanCheckpoints on, else until the folder is cleared."""
+    spark.cleaner.referenceTracking.cleanCheckpoints on, else until the folder is cleared. narrow: rows of a few
+    numbers, written as one file for each core and not one for each shuffle partition."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism)) if narrow else df).checkpoint()
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int, largest: int) -> DataFrame:

@@ -120,7 +120,7 @@ def test_ranks_equal_brute_force(spark):
 def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     rounds = []
     cut = C.cut
-    monkeypatch.setattr(C, "cut", lambda df: rounds.append(1) or cut(df))
+    monkeypatch.setattr(C, "cut", lambda df, narrow=False: rounds.append(1) or cut(df, narrow))
     calls = spark.createDataFrame([(1, 0, f"c{k}", "t", args(f"c{k - 1}") if k else "{}") for k in range(500)], CALLS)
     found = {r.call_id: r.rank for r in C.link(spark.createDataFrame([], MESSAGES), calls, spark.createDataFrame([], RESULTS), {}).collect()}
     assert found == {f"c{k}": k for k in range(500)} and len(rounds) < 16
