@@ -42,7 +42,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Only nodes other than their own root have a row. No links give no rows. Loops and repeated
     links change nothing.
     """
-    edges = cut(edges.select("u", "v").filter("u != v").distinct())
+    edges = cut(edges.select("u", "v").filter("u != v").distinct(), True)
     state = _state(edges)
     for _ in range(rounds):
         if not state[0]:
@@ -50,9 +50,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         n, _, degree = state
         large = _large_star(edges, n, degree)
         if degree > HOT_ROWS:  # a node that many others meet may be near more of them now
-            large = cut(large)
+            large = cut(large, True)
             n, _, degree = _state(large)
-        edges = cut(_small_star(large, n, degree))
+        edges = cut(_small_star(large, n, degree), True)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -423,7 +423,7 @@ def candidates(sets: DataFrame) -> DataFrame:
             if sum(map(len, us)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, chains)], ["u", "v", "chain"])
 
-    found = cut(dealt.mapInArrow(make_runs, "u long, v long, chain boolean").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("chain").alias("chain")))
+    found = cut(dealt.mapInArrow(make_runs, "u long, v long, chain boolean").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("chain").alias("chain")), True)
     u, v = (sets.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "uv")
     half = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"
     pairs = found.filter(~F.col("chain")).join(u, "u").join(v, "v")
@@ -436,7 +436,7 @@ def near_links(docs: DataFrame, prints: DataFrame, text: str = "text") -> DataFr
     """(u, v): a spanning set of the links between the sets in prints, fingerprints(near) of docs."""
     sets = cut(prints.filter("n > 0").select("set", "n", "parity", "prefix").dropDuplicates(["set"]))
     roots = components(candidates(sets))
-    members = cut(roots.select(F.col("node").alias("set"), "root").union(roots.select(F.col("root").alias("set"), "root").distinct()))
+    members = cut(roots.select(F.col("node").alias("set"), "root").union(roots.select(F.col("root").alias("set"), "root").distinct()), True)
     own = prints.join(members, "set").groupBy("set", "root").agg(F.min("txt").alias("txt"))
     raw = F.col(text).cast("string").cast("binary")
     texts = docs.select(F.xxhash64(raw).alias("txt"), raw.alias("text")).join(own, "txt").dropDuplicates(["set"]).select("set", "text")
@@ -550,11 +550,11 @@ def label(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool =
 def _labelled(docs: DataFrame, key: str, text: str, near: bool, hashed: bool) -> DataFrame:
     """label() with the component's root, and if hashed the text's hash txt."""
     prints = cut(fingerprints(docs, key, text, near, hashed))
-    distinct = cut(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
+    distinct = cut(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), True)
     kinds, total, largest = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     found = links(distinct.select("fp"), kinds)
     if near:
-        first = cut(prints.filter("n > 0").groupBy("set").agg(F.min("fp").alias("first")))
+        first = cut(prints.filter("n > 0").groupBy("set").agg(F.min("fp").alias("first")), True)
         same = prints.filter("n > 0").select("set", "fp").distinct().join(first, "set").select(F.col("first").alias("u"), F.col("fp").alias("v"))
         u, v = (first.select(F.col("set").alias(x), F.col("first").alias(f"f{x}")) for x in "uv")
         pairs = near_links(docs, prints, text).distinct().join(u, "u").join(v, "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
@@ -578,7 +578,7 @@ def filter_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     marked = _labelled(docs, key, text, near, True)
     rows = marked.groupBy("root", key, "txt").agg(F.count(F.lit(1)).alias("n"))
     least = rows.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "txt", "n")).alias("x"))
-    stays = cut(least.select(F.col("x.key").alias("__brevia_key"), F.col("x.txt").alias("__brevia_txt"), (F.col("x.n") > 1).alias("__brevia_again")))
+    stays = cut(least.select(F.col("x.key").alias("__brevia_key"), F.col("x.txt").alias("__brevia_txt"), (F.col("x.n") > 1).alias("__brevia_again")), True)
     hashed = docs.withColumn("__brevia_hash", F.xxhash64(F.col(text).cast("string").cast("binary")))
     same = F.col("__brevia_hash") == F.col("__brevia_txt")
     kept = hashed.join(stays, same & F.col(key).eqNullSafe(F.col("__brevia_key")))
