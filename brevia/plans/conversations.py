@@ -19,6 +19,7 @@ from brevia.plans import sqltext as S
 from brevia.plans.registry import query
 from brevia.schema import BLOCK, from_conversations
 from brevia.sources.backends import PrefixBackend
+from brevia.sources.shared import kept
 
 #: Settings under which the test conversations, of some 800 tokens, are pruned and distilled.
 SMALL = EngineConfig(
@@ -200,8 +201,8 @@ def prune_assemble(spark, sf_dir):
 def notices(spark, sf_dir):
     """Prune, then distil what is left, then report."""
     sent = messages(spark, sf_dir)
-    pruned = P.prune_history(sent, PrefixBackend(), PLAIN)
-    done = D.distill_messages(P.assemble(sent, pruned), PrefixBackend(), SMALL)
+    pruned = kept(P.prune_history(sent, PrefixBackend(), PLAIN))  # used by what is sent and by the report
+    done = kept(D.distill_messages(P.assemble(sent, pruned), PrefixBackend(), SMALL))
     marks = N.mark_lines(done).withColumn("content_hash", content_hash(F.col("mark")))
     nothing = sent.select("conv_id").distinct().withColumns({"system": F.lit(None).cast("string"), "tools_json": F.lit("[]")})
     return N.notices(pruned, marks, A.breakdown(done, nothing, PLAIN), PLAIN)
