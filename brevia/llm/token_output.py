@@ -90,6 +90,12 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not added
         names = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, names))) if added and names else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.spans = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes that a token stands for: one for each sign of its name
+        for name, k in vocabulary.items():
+            self.spans[k] = len(name)
+        for k, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.spans[k] = len(token.content.encode())
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self.known = KnownPieces(MOST_PIECES)
 
@@ -107,9 +113,16 @@ class Encoder:
         found, sizes = [], []
         for k in range(0, len(pieces), 5000):
             part = pieces[k : k + 5000]
-            coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            found.append(np.array(coded.ids, np.int32))
-            sizes.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)))
+            (coded,) = self.tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(coded.ids, np.int32)
+            # the fast call doesn't say which piece an id is of; the bytes that the ids stand for do
+            ends, at = np.cumsum([len(x.encode()) for x in part]), np.cumsum(self.spans[ids])
+            last = np.searchsorted(at, ends, "right")
+            if not len(ids) or at[-1] != ends[-1] or (at[last - 1] != ends).any():
+                coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+                ids, last = np.array(coded.ids, np.int32), np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)))
+            found.append(ids)
+            sizes.append(np.diff(last, prepend=0))
         self.known.learn(keys, np.concatenate(found), np.concatenate(sizes))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

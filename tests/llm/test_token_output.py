@@ -103,3 +103,12 @@ def test_added_tokens_equal_the_library_by_default(spark):
     check(plain, S.Encoder(PATH, added=True), texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert all(list(r.ids) == want(plain, texts[r.doc_id]) for r in S.encode_documents(docs, PATH).collect())
+
+
+def test_pieces_are_told_apart_by_bytes_or_by_the_library(library):
+    texts = ["don't 's 中😀  é\n\n a  b x123 " * 3, "naïve — “quoted” ½ ⅷ", "<|endoftext|> a"]
+    fast, slow = S.Encoder(PATH), S.Encoder(PATH)
+    slow.spans[:] = 0  # bytes that don't add up
+    for text in texts:
+        data = text_bytes(pa.array([text]))
+        assert fast.encode(*data)[0].tolist() == slow.encode(*data)[0].tolist() == want(library, text)
