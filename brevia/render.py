@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brevia.functions.markers import distill_block_column
-from brevia.functions.text import savings_percent
 
 
 def _table(rows: DataFrame, columns: list[tuple[str, Column]], order: str, empty: str) -> DataFrame:
@@ -54,4 +53,4 @@ def distilled_text() -> Column:
     return F.when(F.col("error").isNotNull(), F.concat(F.lit("distillation failed: "), F.col("error"))).when(F.col("skipped"), skipped).otherwise(short)
 
 
-__all__ = ["distilled_text", "installed_text", "reply_text", "running_text", "savings_percent", "task_text"]
+__all__ = ["distilled_text", "installed_text", "reply_text", "running_text", "task_text"]
