@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevia.llm.components import components
-from brevia.llm.shared import cut, map_arrow, spread_join, tables
+from brevia.llm.shared import cut, kept, map_arrow, probable, released, remove, spread_join, tables
 from brevia.llm.textkit import mix, shingle_sets
 
 RADIUS = 4
@@ -205,7 +205,9 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return lambda batch: pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(shingle_sets(batch.column(0), NEAR_SHINGLE))).view(np.int64))], ["h"]) if batch.num_rows else None
 
     found = map_arrow(drawn, "h long", make).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
-    rows = found.orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).toArrow()
+    with released(texts.sparkSession):
+        most = found.orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT)
+    rows = most.toArrow()
     often, times = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(often)
     return often[order], times[order]
@@ -432,14 +434,18 @@ def candidates(sets: DataFrame) -> DataFrame:
     return found.filter("chain").select("u", "v").union(pairs.filter((p + q) * apart <= (q - p) * (F.col("nu") + F.col("nv"))).select("u", "v"))
 
 
-def near_links(docs: DataFrame, prints: DataFrame, text: str = "text") -> DataFrame:
-    """(u, v): a spanning set of the links between the sets in prints, fingerprints(near) of docs."""
-    sets = cut(prints.filter("n > 0").select("set", "n", "parity", "prefix").dropDuplicates(["set"]))
+def groups(sets: DataFrame) -> DataFrame:
+    """(set, root): the rows of sets (set, n, parity, prefix; one each) that have candidates, and their component."""
     roots = components(candidates(sets))
-    members = cut(roots.select(F.col("node").alias("set"), "root").union(roots.select(F.col("root").alias("set"), "root").distinct()), True)
-    own = prints.join(members, "set").groupBy("set", "root").agg(F.min("txt").alias("txt"))
+    return cut(roots.select(F.col("node").alias("set"), "root").union(roots.select(F.col("root").alias("set"), "root").distinct()), True)
+
+
+def near_links(docs: DataFrame, prints: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
+    """(u, v): a spanning set of the links between the sets of members, groups() of docs. prints: (set, txt) of docs."""
+    own = cut(prints.join(members, "set").groupBy("set", "root").agg(F.min("txt").alias("txt")), True)
     raw = F.col(text).cast("string").cast("binary")
-    texts = docs.select(F.xxhash64(raw).alias("txt"), raw.alias("text")).join(own, "txt").dropDuplicates(["set"]).select("set", "text")
+    texts = probable(docs.select(F.xxhash64(raw).alias("txt"), raw.alias("text")), "txt", own.select("txt"))
+    texts = texts.join(own, "txt").dropDuplicates(["set"]).select("set", "text")
     units = _units(members.select("set", F.lit(0).alias("tab"), F.col("root").alias("key")), ["set"], GROUP)
     dealt = units.join(texts, "set").select("key", "i", "j", "side", "set", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -549,7 +555,16 @@ def label(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool =
 
 def _labelled(docs: DataFrame, key: str, text: str, near: bool, hashed: bool) -> DataFrame:
     """label() with the component's root, and if hashed the text's hash txt."""
-    prints = cut(fingerprints(docs, key, text, near, hashed))
+    prints = fingerprints(docs, key, text, near, hashed)
+    if near:  # prefixes and parities are the bulk of it, and go as soon as they have been read
+        wide, wide_path = kept(prints, "prints")
+        sets, sets_path = kept(wide.filter("n > 0").select("set", "n", "parity", "prefix").dropDuplicates(["set"]), "sets")
+        prints = cut(wide.drop("parity", "prefix"))
+        remove(docs.sparkSession, wide_path)
+        members = groups(sets)
+        remove(docs.sparkSession, sets_path)
+    else:
+        prints = cut(prints)
     distinct = cut(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), True)
     kinds, total, largest = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     found = links(distinct.select("fp"), kinds)
@@ -557,7 +572,7 @@ def _labelled(docs: DataFrame, key: str, text: str, near: bool, hashed: bool) ->
         first = cut(prints.filter("n > 0").groupBy("set").agg(F.min("fp").alias("first")), True)
         same = prints.filter("n > 0").select("set", "fp").distinct().join(first, "set").select(F.col("first").alias("u"), F.col("fp").alias("v"))
         u, v = (first.select(F.col("set").alias(x), F.col("first").alias(f"f{x}")) for x in "uv")
-        pairs = near_links(docs, prints, text).distinct().join(u, "u").join(v, "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
+        pairs = near_links(docs, prints, members, text).distinct().join(u, "u").join(v, "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
         found = found.union(same.filter("u != v")).union(pairs)
     roots = components(found)
     largest_group = roots.groupBy("root").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] + 1

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from brevia.llm import shared
 from brevia.llm import simhash_dedup as S
 from brevia.llm.components import components
 from pyspark.sql import functions as F
@@ -247,3 +248,30 @@ def test_one_row_of_each_component_whatever_the_keys(spark):
         assert kept.columns == docs.columns
         want = [(None, words[0]), (None, words[1]), (3, words[2]), (3, words[3]), (3, words[4])]
         assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(k), t) for k, t in want)
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(k).getPath() for k in range(found.length()) if found.apply(k).getName().startswith("shuffle_")}
+
+
+def test_disk_is_given_back_without_the_garbage_collector(spark):
+    rows = spark.range(20_000).select((F.col("id") % 9973).alias("k")).repartition(4, "k")
+    before = shuffle_files(spark)
+    table, path = shared.kept(rows, "test")
+    copies = [shared.cut(rows), shared.cut(rows, True), table]  # rows lives on, so nothing is garbage
+    assert not shuffle_files(spark) - before
+    assert [x.count() for x in copies] == [20_000] * 3
+    shared.remove(spark, path)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_only_texts_with_candidates_are_dealt_out(spark):
+    keys = spark.createDataFrame([(k * 7919 - 10**9,) for k in range(5000)], "k long")
+    wanted = keys.filter("pmod(k, 50) = 3 OR k < -999990000").withColumnRenamed("k", "w")
+    got = {r.k for r in shared.probable(keys, "k", wanted).collect()}
+    need = {r.w for r in wanted.collect()}
+    assert need <= got and len(need) > 50 and len(got) < len(need) + 20
+    assert not shared.probable(keys, "k", wanted.limit(0)).count()
+    edges = spark.createDataFrame([(x,) for x in (0, -1, shared.MAP_BITS - 1, shared.MAP_BITS, -(1 << 63), (1 << 63) - 1)], "k long")
+    assert shared.probable(edges, "k", edges).count() == 6
