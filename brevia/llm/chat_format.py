@@ -9,11 +9,13 @@ halves of surrogate pairs escaped.
 Order: an argument "$call:ID" refers to the result of call ID of the same conversation. A rank is given
 to every event, the smallest that is no less than its turn and greater than the ranks of what it must
 follow: a result its call, a call the results it refers to (or their calls, if unanswered). Events
-sorted by (rank, kind, turn, call_id) are in topological order. Ranks are found in rounds of joins on the
+sorted by (rank, kind, turn, call_id) are in topological order. The calls of a conversation, of up to WHOLE,
+are ranked by one task in one pass; of a call it holds the identifier, its references and two numbers. Ranks of
+larger conversations are found in rounds of joins on the
 identifier: a call that refers to one other is a function max(a, x + b) of when that one ends, and such
 functions are composed, so a chain takes as many rounds as the logarithm of its length; a call with several
-references waits for all of them. Calls in or behind a circle of references keep their turn and are called
-cyclic. No conversation is gathered in one place.
+references waits for all of them, so chains of such calls take as many rounds as they are long. Calls in or
+behind a circle of references keep their turn and are called cyclic. No text is gathered in one place.
 
 Of several calls (results) of one identifier the first turn counts, of one turn the first by a hash of what is
 said, and the others are duplicate; equal rows are one event told twice and share its status. Results without
@@ -175,6 +177,8 @@ def _result_json(call_id: Column, text: Column) -> Column:
 
 
 WHO = ["conv_id", "call_id"]
+#: Calls (distinct identifiers) of a conversation that one task ranks, some 60 MB.
+WHOLE = 200_000
 
 
 def _said(*columns: str) -> Column:
@@ -192,14 +196,80 @@ def _linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     return cut(both.select(*WHO, F.col("x.event").alias("first"), F.col("x.event.turn").alias("turn"), F.col("x.refs").alias("refs"), "answer", F.col("answer.turn").alias("answered")))
 
 
+def _waits() -> tuple[Column, Column]:
+    """a and b of a row of _linked(): a call that waits for x ends at max(a, x + b)."""
+    replied = F.col("answered").isNotNull()
+    return F.when(replied, F.greatest("answered", F.col("turn") + 1)).otherwise(F.col("turn")), F.when(replied, 2).otherwise(1).cast("long")
+
+
+def solve(calls: list[tuple]) -> tuple[list[int | None], list[int | None]]:
+    """Of all calls (identifier, a, b, references) of a conversation, in their order: when each ends, None in or behind
+    a circle, and the latest end of what it refers to."""
+    at = {call[0]: k for k, call in enumerate(calls)}
+    followers: list[list[int]] = [[] for _ in calls]
+    open_refs, ends, above = [0] * len(calls), [None] * len(calls), [None] * len(calls)
+    for k, (_, _, _, refs) in enumerate(calls):
+        for r in refs:
+            if r in at:
+                followers[at[r]].append(k)
+                open_refs[k] += 1
+    ready = [k for k, n in enumerate(open_refs) if not n]
+    while ready:
+        k = ready.pop()
+        _, a, b, _ = calls[k]
+        end = a if above[k] is None else above[k] + b if a is None else max(a, above[k] + b)
+        if end is None:  # without a turn
+            continue
+        ends[k] = end
+        for f in followers[k]:
+            above[f] = end if above[f] is None else max(above[f], end)
+            open_refs[f] -= 1
+            if not open_refs[f]:
+                ready.append(f)
+    return ends, above
+
+
+def _whole(called: DataFrame) -> DataFrame:
+    """(conv_id, call_id, end, above) of the calls of called, each conversation's by one task."""
+    a, b = _waits()
+    rows = called.select(*WHO, a.cast("long").alias("a"), b.alias("b"), "refs").repartition("conv_id").sortWithinPartitions("conv_id")
+    kinds = [called.schema[x].dataType.simpleString() for x in WHO]
+
+    def run(batches):
+        out, held, last, types = [], [], None, None
+
+        def close():
+            if held:
+                out.extend((last, call[0], end, above) for call, end, above in zip(held, *solve(held), strict=True))
+                held.clear()
+
+        def rows_out():
+            columns = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.int64(), pa.int64()], strict=True)], [*WHO, "end", "above"])
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in range(2)]
+            for conv, *call in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if conv != last:
+                    close()
+                    last = conv
+                    if len(out) >= 10_000:
+                        yield rows_out()
+                        out.clear()
+                held.append(call)
+        close()
+        if out:
+            yield rows_out()
+
+    return rows.mapInArrow(run, f"conv_id {kinds[0]}, call_id {kinds[1]}, end long, above long")
+
+
 def _ends(linked: DataFrame, wanted: DataFrame) -> DataFrame:
     """(conv_id, call_id, end) of the calls of linked: the rank of the last event of each, null in or behind a circle.
     wanted: (conv_id, call_id, ref) of references to calls that are there."""
     counted = wanted.groupBy(*WHO).agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("ref"))
-    replied = F.col("answered").isNotNull()
-    # a call that waits for x ends at max(a, x + b)
-    a, b = F.when(replied, F.greatest("answered", F.col("turn") + 1)).otherwise(F.col("turn")), F.when(replied, 2).otherwise(1).cast("long")
-    rows = linked.filter("first is not null").join(counted, WHO, "left")
+    a, b = _waits()
+    rows = linked.join(counted, WHO, "left")
     state = cut(rows.select(*WHO, F.when(F.col("n").isNull(), a).alias("end"), F.when(F.col("n") == 1, F.col("ref")).alias("ref"), (F.col("n") > 1).alias("many"), a.alias("a"), b.alias("b")), True)
     waiting, deep, many = _waiting(state)
     idle = 0
@@ -228,16 +298,27 @@ def _waiting(state: DataFrame) -> tuple[int, int, int]:
     return tuple(by.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.max("n"), F.sum("many")))).first())
 
 
-def _ranks(linked: DataFrame) -> DataFrame:
-    """linked with rank, result_rank and cyclic."""
-    called = linked.filter("first is not null")
+def _by_rounds(called: DataFrame) -> DataFrame:
+    """What _whole() gives, by joins."""
     wanted = cut(called.select(*WHO, F.explode("refs").alias("ref")).join(called.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_semi"), True)
-    ends = _ends(linked, wanted)
+    ends = _ends(called, wanted)
     above = wanted.join(ends.withColumnsRenamed({"call_id": "ref", "end": "x"}), ["conv_id", "ref"]).groupBy(*WHO).agg(F.max("x").alias("above"))
+    return ends.join(above, WHO, "left").select(*WHO, "end", "above")
+
+
+def _ranks(linked: DataFrame) -> DataFrame:
+    """linked with rank, result_rank and cyclic."""
+    called = linked.filter("first is not null and conv_id is not null and call_id is not null")
+    counts = called.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    if (counts.agg(F.max("n")).first()[0] or 0) <= WHOLE:
+        found = _whole(called)
+    else:
+        large = F.broadcast(cut(counts.filter(F.col("n") > WHOLE).select("conv_id"), True))
+        found = _whole(called.join(large, "conv_id", "left_anti")).union(_by_rounds(called.join(large, "conv_id", "left_semi")))
     cyclic = F.col("first").isNotNull() & F.col("end").isNull()
     rank = F.when(cyclic | F.col("above").isNull(), F.col("turn")).otherwise(F.greatest("turn", F.col("above") + 1))
     after = F.when(F.col("answered").isNotNull(), F.greatest("answered", F.col("rank") + 1))
-    return linked.join(ends, WHO, "left").join(above, WHO, "left").withColumn("cyclic", cyclic).withColumn("rank", rank).withColumn("result_rank", after)
+    return linked.join(found, WHO, "left").withColumn("cyclic", cyclic).withColumn("rank", rank).withColumn("result_rank", after)
 
 
 def link(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:

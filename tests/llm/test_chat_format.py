@@ -132,3 +132,32 @@ def test_ties_of_one_identifier(spark):
     found = C.link(spark.createDataFrame([], MESSAGES), calls, results, {}).collect()
     status = sorted((r.kind, r.call_id, r.status) for r in found)
     assert status == [("call", "a", "duplicate"), ("call", "a", "linked"), ("call", "b", "unanswered"), ("call", "b", "unanswered"), ("result", "a", "duplicate"), ("result", "a", "linked")]
+
+
+def test_a_chain_of_calls_with_two_references_takes_few_rounds(spark, monkeypatch):
+    """Each call waits for the two before it: as many rounds as calls would fill the driver with plans."""
+    rounds, cut, n = [], C.cut, 700
+    monkeypatch.setattr(C, "cut", lambda df, narrow=False: rounds.append(1) or (cut(df, narrow) if len(rounds) < 20 else pytest.fail("too many rounds")))
+    calls = spark.createDataFrame([(4, 0, f"c{k}", "t", args(*(f"c{r}" for r in (k - 1, k - 2) if r >= 0))) for k in range(n)], CALLS)
+    results = spark.createDataFrame([(4, 0, f"c{k}", "x") for k in range(0, n, 7)], RESULTS)
+    found = {r.call_id: r.rank for r in C.link(spark.createDataFrame([], MESSAGES), calls, results, {}).collect() if r.kind == "call"}
+    assert found == {f"c{k}": k + -(-k // 7) for k in range(n)}
+
+
+@pytest.mark.parametrize("whole", [0, 3, 20])
+def test_large_conversations_get_the_same_ranks(spark, monkeypatch, whole):
+    import random
+
+    monkeypatch.setattr(C, "WHOLE", whole)
+    draw, calls, results = random.Random(9), [], []
+    for conv in range(8):
+        n = draw.choice([2, 3, 4, 30])
+        for k in range(n):
+            refs = draw.choice([[], [k - 1], [k - 1, k - 2], [draw.randint(0, n)], [k] if conv > 5 else []])
+            calls.append((conv, draw.randint(0, 30), f"c{k}", [f"c{r}" for r in refs]))
+            if draw.random() < 0.5:
+                results.append((conv, draw.randint(0, 40), f"c{k}"))
+    frames = (spark.createDataFrame([(c, t, k, "t", args(*r)) for c, t, k, r in calls], CALLS), spark.createDataFrame([(*r, "x") for r in results], RESULTS))
+    found = [r for r in C.link(spark.createDataFrame([], MESSAGES), *frames, {}).collect() if r.kind == "call"]
+    rank, cyclic = brute_ranks(calls, results)
+    assert {(r.conv_id, r.call_id): r.rank for r in found} == rank and {(r.conv_id, r.call_id) for r in found if r.status == "cyclic"} == cyclic
