@@ -38,6 +38,8 @@ FANOUT = 16
 TRIE = (0, 2, 4)
 MAX_BROADCAST = 100_000
 FILE_RECORDS = 1000
+#: So many shuffle partitions of records share a file, unless cores would idle: a record's row holds hashes, no content.
+FILE_PARTITIONS = 16
 PIECE = 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 
@@ -210,9 +212,16 @@ def tree(leaves: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def _packed(df: DataFrame) -> DataFrame:
+    """Rows for each record, in a file for FILE_PARTITIONS shuffle partitions, but for one for each core at least.
+    Hadoop's local file system starts processes for each file that it writes, however few rows that has."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // FILE_PARTITIONS))
+
+
 def root(records: DataFrame) -> str | None:
     """The replica's root hash; replicas of equal records in equal places have equal roots."""
-    leaves = cut(_leaves(records))
+    leaves = cut(_packed(_leaves(records)))
     found = tree(leaves, _depth(leaves)).filter("level = 0").first()
     return found.hash if found else None
 
@@ -235,17 +244,17 @@ def _of_side(side: int, name: str) -> Column:
 def audit_all(first: DataFrame, second: DataFrame) -> DataFrame:
     """(file, record_id, copy, offset, length, sha256, other_offset, other_length, other_sha256, status) of every
     record of two replicas; status is intact where they agree."""
-    leaves = cut(_leaves(first, second))
+    leaves = cut(_packed(_leaves(first, second)))
     depth = _depth(leaves)
-    grown = tree(leaves, depth)
-    nodes = cut(grown.coalesce(max(1, int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    nodes = cut(tree(leaves, depth), True)
     differ, n = None, 1
     for level in range(len(TRIE) + depth):
         here = nodes.filter(F.col("level") == level)
         if differ is not None:
             here = here.join(_small(differ, n), F.col("parent") == F.col("wanted"), "left_semi")
         both = here.groupBy("node").agg(_of_side(0, "hash").alias("a"), _of_side(1, "hash").alias("b"))
-        differ = cut(both.filter(~F.col("a").eqNullSafe(F.col("b"))).select(F.col("node").alias("wanted")))
+        found = both.filter(~F.col("a").eqNullSafe(F.col("b"))).select(F.col("node").alias("wanted"))
+        differ = cut(found.coalesce(1)) if level < len(TRIE) else cut(found, True)  # the trie has 16 ** TRIE[-1] nodes a level at most
         n = differ.count()
         if not n:
             break
@@ -263,7 +272,7 @@ def audit_all(first: DataFrame, second: DataFrame) -> DataFrame:
     )
     elsewhere = grouped.filter("side = 0").join(_small(differ, n), F.col("__group") == F.col("wanted"), "left_anti")
     agreed = elsewhere.select(*keys, *names, *(F.col(c).alias(f"other_{c}") for c in names), F.lit("intact").alias("status"))
-    return paired.withColumn("status", status).select(agreed.columns).union(agreed)
+    return _packed(paired.withColumn("status", status).select(agreed.columns).union(agreed))
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import duckdb
 import pytest
@@ -112,3 +115,26 @@ def test_odd_tables(spark):
     pages = spark.createDataFrame([(None, None, None, 1), (3, "u", "", 2), (3, "u", "", 2), (-5, "v", "é", 0)], "page_id long, url string, html string, offset int")
     found = W.warc_records(pages)
     assert found.count() == 4 and W.audit_all(found, found).filter("status != 'intact'").count() == 0
+
+
+def test_files_follow_rows_and_cores(spark):
+    """Many shuffle partitions of few rows don't make many files, and the audit stays whole."""
+    base = replica(spark, [(f"f{k % 40}", k, 10 * k, 10, f"x{k}") for k in range(800)])
+    other = base.filter("record_id % 37 != 4").withColumn("sha256", F.when(F.expr("record_id % 29 = 3"), F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    few, place = max(4, spark.sparkContext.defaultParallelism), Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    seen = set(place.rglob("part-*"))
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        found = W.audit_all(base, other)
+        assert found.rdd.getNumPartitions() <= few
+        status = {r.record_id: r.status for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    written = set(place.rglob("part-*")) - seen
+    assert status == {k: "missing" if k % 37 == 4 else "corrupt" if k % 29 == 3 else "intact" for k in range(800)}
+    by_table = Counter(p.parent for p in written)
+    assert len(by_table) >= 3 and max(by_table.values()) <= few
